@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from lucidgraph.llm import mixing, sharding
+from lucidgraph.llm import mixing, quality_rules, sharding
 
 QUERIES = {
+    "op3_quality_rules": quality_rules.op3,
     "op6_sharding": sharding.op6,
     "op9_mixing": mixing.op9,
 }
 
 SQL = {
+    "op3_quality_rules": quality_rules.OP3_SQL,
     "op9_mixing": mixing.OP9_SQL,
 }
