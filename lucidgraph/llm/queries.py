@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from lucidgraph.llm import mixing, quality_rules, sharding
+from lucidgraph.llm import mixing, quality_rules, secrets, sharding
 
 QUERIES = {
+    "op2_secrets": secrets.op2,
     "op3_quality_rules": quality_rules.op3,
     "op6_sharding": sharding.op6,
     "op9_mixing": mixing.op9,
