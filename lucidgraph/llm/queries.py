@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from lucidgraph.llm import mixing, quality_rules, secrets, sharding
+from lucidgraph.llm import licences, mixing, quality_rules, secrets, sharding
 
 QUERIES = {
+    "op7_licences": licences.op7,
     "op2_secrets": secrets.op2,
     "op3_quality_rules": quality_rules.op3,
     "op6_sharding": sharding.op6,
@@ -12,6 +13,7 @@ QUERIES = {
 }
 
 SQL = {
+    "op7_licences": licences.OP7_SQL,
     "op3_quality_rules": quality_rules.OP3_SQL,
     "op9_mixing": mixing.OP9_SQL,
 }
