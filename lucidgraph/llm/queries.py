@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from lucidgraph.llm import licences, mixing, quality_rules, secrets, sharding
+from lucidgraph.llm import licences, mixing, quality_rules, secrets, sharding, warc
 
 QUERIES = {
+    "op1_warc": warc.op1,
     "op7_licences": licences.op7,
     "op2_secrets": secrets.op2,
     "op3_quality_rules": quality_rules.op3,
