@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from lucidgraph.llm import decontamination, licences, mixing, quality_rules, secrets, sharding, simhash, warc
+from lucidgraph.llm import decontamination, licences, mixing, perplexity, quality_rules, secrets, sharding, simhash, warc
 
 QUERIES = {
+    "op5_perplexity": perplexity.op5,
     "op4_simhash": simhash.op4,
     "op8_decontamination": decontamination.op8,
     "op1_warc": warc.op1,
