@@ -273,7 +273,7 @@ class Classifier:
         self.model, self.languages, self.limits = model, languages, limits
 
 
-def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", quantile: float = 0.95, slack: float = 8.0) -> Classifier | None:
+def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", quantile: float = 0.95, slack: float = 6.0) -> Classifier | None:
     """Trains on the trusted rows of ``docs`` and sets each language's limits; None if no row is trusted.
 
     Limits come from the logarithms of held-out trusted texts' perplexities, by language: the median plus ``slack``
