@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from lucidgraph.llm import decontamination, licences, mixing, perplexity, quality_rules, secrets, sharding, simhash, warc
+from lucidgraph.llm import decontamination, licences, mixing, perplexity, quality_rules, secrets, sharding, simhash, substrings, warc
 
 QUERIES = {
+    "op10_substrings": substrings.op10,
     "op5_perplexity": perplexity.op5,
     "op4_simhash": simhash.op4,
     "op8_decontamination": decontamination.op8,
@@ -17,6 +18,7 @@ QUERIES = {
 }
 
 SQL = {
+    "op10_substrings": substrings.OP10_SQL,
     "op7_licences": licences.OP7_SQL,
     "op3_quality_rules": quality_rules.OP3_SQL,
     "op9_mixing": mixing.OP9_SQL,
