@@ -222,12 +222,16 @@ def hex_digits(print_: str = "print"):
 def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row of each component, all columns as they are: the one with the component's key.
 
-    Of rows that repeat that key one stays. Rows without any key in their component stay one per component.
+    Of rows that repeat that key one stays, the one whose text has the least hash. Rows with a null key stay: no
+    component can name them.
     """
-    stays = near_duplicates(docs, key, text).select(F.coalesce("component", "key").alias("_stay")).distinct()
-    kept = docs.join(stays, F.col(key).eqNullSafe(F.col("_stay"))).drop("_stay")
-    order = Window.partitionBy(key).orderBy(F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
-    return kept.withColumn("_n", F.row_number().over(order)).filter("_n = 1").drop("_n")
+    found = written(near_duplicates(docs.filter(F.col(key).isNotNull()), key, text).select("key", "component"), "near-duplicates")
+    stays = found.filter("key = component").groupBy("key").agg(F.count(F.lit(1)).alias("_rows"))
+    kept = docs.join(stays.select(F.col("key").alias(key)), key, "left_semi")
+    if stays.filter("_rows > 1").first() is not None:
+        order = Window.partitionBy(key).orderBy(F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
+        kept = kept.withColumn("_n", F.row_number().over(order)).filter("_n = 1").drop("_n")
+    return kept.unionByName(docs.filter(F.col(key).isNull()))
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
