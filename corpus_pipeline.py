@@ -1,5 +1,50 @@
-"""The corpus pipeline (to be filled)."""
-STAGES = []
+"""The corpus pipeline: each stage is one of the corpus operators, over all that the stage before it kept."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from lucidgraph.llm import decontamination, mixing, perplexity, sharding, simhash
+from lucidgraph.llm.shared import table, written
+
+#: Shards of the result, all of one weight.
+SHARDS = 40
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose perplexity is within their language's limits; trusted are those that ``labels`` trusts."""
+    return perplexity.keep_good(docs, table(spark, sf_dir, "labels"))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of linked fingerprints."""
+    return simhash.deduplicate(docs)
+
+
+def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a copy of a benchmark item."""
+    return decontamination.decontaminate(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it."""
+    return mixing.emit(mixing.mix(docs)).select(*docs.columns)
+
+
+def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All rows with their shard and slot."""
+    return sharding.shard_records(docs, [1.0] * SHARDS).select(*docs.columns, "size", "text_crc32", "law", "shard", "slot", "grown_shard")
+
+
+STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("leaks", leaks), ("mix", mix), ("shards", shards)]
+
+#: Neither the language model nor XXH64 can be had in SQL.
 ORACLE_SQL = None
-def run(spark, sf_dir):
-    raise NotImplementedError
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    out = STAGES[-1][1](spark, docs, sf_dir)
+    return out
