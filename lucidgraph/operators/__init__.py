@@ -1 +1 @@
-"""See the package README section of the same name."""
+"""Graph operators: statistics, slices, pattern mining, deduction, feedback, evaluation, clustering, embedding."""

@@ -1 +1 @@
-"""See the package README section of the same name."""
+"""Rules as values on the driver, and the compiler from rules to DataFrame joins."""
