@@ -190,12 +190,10 @@ class Miner:
         return counts
 
     def _binds(self, parent: Rule, pick: tuple) -> bool:
-        _, _, subject, obj, p, _ = pick
-        if p not in self.constant or obj in parent.anchors:
-            return False
-        if self.settings.first_generation:
-            return len(parent) + 1 > 1 and obj.startswith("?x") and obj not in parent.variables()
-        return is_var(obj)
+        """Constants go to the new variable only, where it is the object; binding an older one would cut the rule apart."""
+        _, _, _, obj, p, _ = pick
+        longer = not self.settings.first_generation or len(parent) > 0
+        return p in self.constant and longer and obj.startswith("?x") and obj not in parent.variables()
 
     def _hidden(self, rule: Rule) -> bool:
         if self.settings.first_generation:
