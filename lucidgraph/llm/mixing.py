@@ -18,7 +18,7 @@ BUCKETS = 64
 
 
 def source_targets(sizes: DataFrame, weights: Sequence[float], budget: float, cap: float) -> DataFrame:
-    """(source, source_size) -> plus target, for few rows: one per source.
+    """``sizes`` (source, source_size and others) plus target: one row per source.
 
     Sources in code point order, null last, take ``weights`` in turn and share ``budget`` times all sizes. A target
     stops at ``cap`` times its source's size and the excess goes to the others by weight until none is above. That is
@@ -36,13 +36,12 @@ def source_targets(sizes: DataFrame, weights: Sequence[float], budget: float, ca
     open_ = F.col("level") * F.col("weight") <= F.col("most")
     rows = rows.withColumn("level", F.min(F.when(open_, F.struct((F.col("most") / F.col("weight")).alias("k"), F.col("level").alias("v")))).over(everything)["v"])
     target = F.when(F.col("level").isNull(), F.col("most")).otherwise(F.least(F.col("level") * F.col("weight"), F.col("most")))
-    return rows.select("source", "source_size", target.alias("target"))
+    return rows.select(*sizes.columns, target.alias("target"))
 
 
-def offset_of(source: Column, seed: int) -> Column:
-    """A number in [0, 1) from a source's name and the seed: reruns agree."""
-    name = F.concat(F.lit(f"{seed}:"), F.when(source.isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), source)))
-    return F.conv(F.substring(F.md5(name), 1, 8), 16, 10).cast("double") / F.lit(float(1 << 32))
+def offset_of(name: Column, seed: int) -> Column:
+    """A number in [0, 1) from a source's key and the seed: reruns agree."""
+    return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), name)), 1, 8), 16, 10).cast("double") / F.lit(float(1 << 32))
 
 
 def mix(
@@ -62,34 +61,39 @@ def mix(
     keys: last among equals. Repeated rows are rows of their own. A source without words has target 0 and its rows
     are not copied. An empty table gives an empty result. Columns of these names in ``docs`` are replaced.
 
-    A rank within the source is a sum of counts of (size, bucket) before it plus the place in its own bucket: no task
-    holds a source.
+    A rank within the source is the number of rows of smaller sizes, plus those of the size in buckets before, plus the
+    place in the own bucket: no task holds a source, and the rows move once.
     """
     new = ["size", "source_size", "target", "copies", "taken", "_source", "_bucket", "_before", "_place"]
     base = docs.drop(*[c for c in new if c not in (key, text, source)])
-    source_key = F.struct(F.col(source)).cast("struct<v:string>")
+    # never null, so that windows and joins on it share one exchange
+    named = F.when(F.col(source).isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), F.col(source).cast("string")))
     rows = base.withColumns(
         {
             "size": F.size(words(F.col(text))).cast("long"),
-            "_source": source_key["v"],
+            "_source": named,
             "_bucket": F.coalesce(F.pmod(F.col(key), F.lit(BUCKETS)).cast("int"), F.lit(BUCKETS)),
         }
     )
     groups = written(rows.groupBy("_source", "size", "_bucket").agg(F.count(F.lit(1)).alias("_n")), "mix-counts")
-    sizes = groups.groupBy(F.col("_source").alias("source")).agg(F.sum(F.col("size") * F.col("_n")).alias("source_size"))
-    targets = source_targets(sizes, weights, budget, cap).withColumnRenamed("source", "_source")
-    earlier = Window.partitionBy("_source").orderBy("size", "_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = groups.withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0))).drop("_n")
-    plan = offsets.join(targets, offsets["_source"].eqNullSafe(targets["_source"])).drop(targets["_source"])
-    plan = plan.select(F.col("_source").alias("_s"), F.col("size").alias("_z"), F.col("_bucket").alias("_b"), "_before", "source_size", "target")
+    of_size = groups.groupBy("_source", "size").agg(F.sum("_n").alias("_n"))
+    smaller = Window.partitionBy("_source").orderBy("size").rowsBetween(Window.unboundedPreceding, -1)
+    of_size = of_size.select("_source", "size", F.coalesce(F.sum("_n").over(smaller), F.lit(0)).alias("_smaller"))
+    sizes = groups.groupBy("_source").agg(F.sum(F.col("size") * F.col("_n")).alias("source_size"))
+    sizes = sizes.withColumn("source", F.when(F.col("_source") != "n", F.expr("substring(_source, 2)")))
+    targets = source_targets(sizes, weights, budget, cap)
+    earlier = Window.partitionBy("_source", "size").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    plan = groups.withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0))).drop("_n").join(of_size, ["_source", "size"])
+    plan = plan.withColumn("_before", F.col("_before") + F.col("_smaller")).drop("_smaller").join(targets.drop("source"), "_source")
     inside = Window.partitionBy("_source", "size", "_bucket").orderBy(F.col(key).asc_nulls_last())
     ranked = rows.withColumn("_place", F.row_number().over(inside).cast("long") - 1)
-    joined = ranked.join(plan, ranked["_source"].eqNullSafe(plan["_s"]) & (ranked["size"] == plan["_z"]) & (ranked["_bucket"] == plan["_b"]))
+    joined = ranked.join(plan, ["_source", "size", "_bucket"])
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     start = (F.col("_before") + F.col("_place")).cast("double")
     offset = offset_of(F.col("_source"), seed)
     copies = F.floor(rate * (start + 1) + offset) - F.floor(rate * start + offset)
-    return joined.withColumn("copies", copies.cast("long")).withColumn("taken", F.col("copies") * F.col("size")).drop("_source", "_bucket", "_before", "_place", "_s", "_z", "_b")
+    joined = joined.withColumn("copies", copies.cast("long")).withColumn("taken", F.col("copies") * F.col("size"))
+    return joined.select(*base.columns, "size", "source_size", "target", "copies", "taken")
 
 
 def emit(mixed: DataFrame) -> DataFrame:
