@@ -7,15 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lucidgraph import data
+from lucidgraph import data, iterations
 from lucidgraph.functions import terms, vectors
 from lucidgraph.functions.measures import with_measures
-from lucidgraph.operators import deduction, evaluation, graph, mining
+from lucidgraph.operators import clustering, deduction, embedding, evaluation, graph, mining
 from lucidgraph.plans.patterns import match
 from lucidgraph.plans.rules import Atom, Rule
 from lucidgraph.sources import labels as label_sources
 from lucidgraph.sources import output, triples
 from lucidgraph.sources.storage import work_folder
+from lucidgraph.streaming.supports import RunningSupports
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -660,3 +661,127 @@ SELECT id, centre, round(q, 6) AS q, round((q * q / f) / sum(q * q / f) OVER (PA
 def vec_soft_assignment(spark, d):
     v = data.vectors(spark, d)
     return vectors.soft_assignment(v, v.filter("id < 5").select(F.col("id").alias("centre"), "vec")).select("id", "centre", *_r("q", "p"))
+
+
+# ---- clustering: of the first few hundred vectors where a method needs all pairs ----
+
+
+def _clustered(name: str, **settings) -> Query:
+    def run(spark, d):
+        v = data.vectors(spark, d).select("id", "vec")
+        return clustering.method(name, **settings)(v if name == "kmeans" else v.filter("id < 300"))
+
+    run.__name__ = f"cl_{name}"
+    return run
+
+
+for _name, _settings in {"kmeans": {"k": 10, "restarts": 3}, "dbscan": {"eps": 0.6, "least": 4, "metric": "cosine"}, "hierarchical": {"k": 10}, "spectral": {"k": 10}, "multicut": {"cut": 0.55}}.items():
+    query()(_clustered(_name, **_settings))
+
+
+# ---- embedding ----
+
+
+def _fit(model: str) -> Query:
+    def run(spark, d):
+        kg = data.graph(spark, d, ("nation", "supplier")).filter("s like 'nation/%' or s like 'supplier/1%'")
+        t = embedding.Training(model=model, k=16, epochs=40, rounds=2, rate=0.05 if model != "convkb" else 0.02)
+        losses = embedding.train(kg, t)[1]
+        return spark.createDataFrame([(model, losses[0], losses[-1], losses[-1] < losses[0])], "model string, first_loss double, last_loss double, fell boolean")
+
+    run.__name__ = f"em_train_{model}"
+    return run
+
+
+for _model in embedding.MODELS:
+    query()(_fit(_model))
+
+
+def _small_model(spark, d) -> tuple[DataFrame, embedding.Embedding]:
+    kg = data.graph(spark, d, ("nation",))
+    return kg, embedding.train(kg, embedding.Training(k=8, epochs=40, rounds=1))[0]
+
+
+@query()
+def em_predict_calibrated(spark, d):
+    """Scores of all facts and of as many with the object moved on, and probabilities fitted to them."""
+    kg, model = _small_model(spark, d)
+    region = F.concat(F.lit("region/"), F.pmod(F.substring("o", 8, 9).cast("int") + 1, F.lit(5)).cast("string"))
+    good, bad = embedding.predict(model, kg), embedding.predict(model, kg.withColumn("o", region))
+    return embedding.probabilities(embedding.calibrate(good, bad), good)
+
+
+@query(f"SELECT name FROM (SELECT s AS name FROM ({_SMALL}) UNION SELECT o FROM ({_SMALL}))")
+def em_save_load(spark, d):
+    """All names after a model of the nations went on with all triples, was saved and loaded."""
+    _, model = _small_model(spark, d)
+    grown = embedding.start(data.graph(spark, d, SMALL), model.training, model)
+    path = work_folder(spark, "model")
+    embedding.save(grown, path)
+    return embedding.load(spark, path).entities.select("name")
+
+
+@query(f"SELECT name FROM (SELECT s AS name FROM ({_SMALL}) UNION SELECT o FROM ({_SMALL})) EXCEPT (SELECT s FROM ({data.graph_sql(('nation',))}) UNION SELECT o FROM ({data.graph_sql(('nation',))}))")
+def em_new_names(spark, d):
+    known = embedding.vocabulary(data.graph(spark, d, ("nation",)))[0]
+    return embedding.vocabulary(data.graph(spark, d, SMALL))[0].join(known, "name", "left_anti")
+
+
+@query("SELECT vec_id AS id, label, len(embedding) AS n FROM embeddings WHERE label = 3")
+def em_lookup(spark, d):
+    v = data.vectors(spark, d)
+    found = embedding.lookup(v.select(F.col("id").cast("string").alias("name"), "vec"), v.filter("label = 3").select(F.col("id").cast("string")), "raise")
+    return found.select(F.col("name").cast("long").alias("id"), F.lit(3).alias("label"), F.size("vec").cast("long").alias("n"))
+
+
+@query(
+    f"""WITH k AS ({_SMALL}), c AS ({data.graph_sql(('nation',))}), f AS (SELECT entity AS s, 'f1' AS p, label AS o FROM ({_LAB}) UNION ALL SELECT entity, 'f2', label FROM ({_LAB}))
+SELECT 'retrain' AS mode, (SELECT count(*) FROM k) + (SELECT count(*) FROM f) AS n UNION ALL SELECT 'subgraph_only', (SELECT count(*) FROM c) UNION ALL SELECT 'graph_only', (SELECT count(*) FROM k)
+UNION ALL SELECT 'assignments_only', (SELECT count(*) FROM f) UNION ALL SELECT 'assignments_graph', (SELECT count(*) FROM k) + (SELECT count(*) FROM f) UNION ALL SELECT 'assignments_subgraph', (SELECT count(*) FROM c) + (SELECT count(*) FROM f)"""
+)
+def em_update_data(spark, d):
+    """How many triples each mode trains on, with the last two of three feedbacks."""
+    kg, context = data.graph(spark, d, SMALL), data.graph(spark, d, ("nation",))
+    lab = data.customers_by_region(spark, d)
+    history = [lab.select(F.col("entity").alias("s"), F.lit(f"f{i}").alias("p"), F.col("label").alias("o")) for i in range(3)]
+    sets = {m: embedding.update_data(kg, context, history, "adapt_progressive", m, 2) for m in embedding.DATA_MODES}
+    sets["retrain"] = embedding.update_data(kg, context, history, "retrain", "graph_only", 2)
+    out = None
+    for mode, rows in sets.items():
+        one = rows.groupBy().agg(F.count(F.lit(1)).alias("n")).select(F.lit(mode).alias("mode"), "n")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+# ---- rules, iterations, streams ----
+
+
+@query()
+def io_rules(spark, d):
+    """Rules written to read and to load, and loaded."""
+    path = work_folder(spark, "rules")
+    output.write_rules(spark, {"region/1": _rules()}, path)
+    return output.read_rules(spark, f"{path}.parsable").select("rule_id", "cluster", F.size("body").cast("long").alias("atoms"))
+
+
+@query()
+def it_pipeline(spark, d):
+    """Two iterations over the suppliers of two regions: cluster sizes, accuracy, rule measures."""
+    kg = data.graph(spark, d, ("nation", "supplier"))
+    nation = data.table(spark, d, "nation").select(F.concat(F.lit("nation/"), F.col("n_nationkey").cast("string")).alias("o"), F.concat(F.lit("region/"), F.col("n_regionkey").cast("string")).alias("label"))
+    targets = kg.filter("p = 'inNation'").join(F.broadcast(nation.filter("label in ('region/1', 'region/2')")), "o").select(F.col("s").alias("entity"), F.lit("livesIn").alias("relation"), "label")
+    plan = iterations.Plan(iterations=2, method_settings={"k": 2, "restarts": 2}, training=embedding.Training(k=8, epochs=8, rounds=1))
+    found = iterations.run(kg, targets, plan).metrics()
+    return output.metrics_frame(spark, found, ("itr_num", "ACC", "ARI", "NMI", "SS", "x_coverage@1", "curr_vs_base", "clusters", "clusters_with_any_explans", "clusters_sizes"))
+
+
+@query(f"WITH {_SUPPORTS} SELECT rule_id, cluster, support, size FROM g")
+def st_running_supports(spark, d):
+    """The triples come as a stream of files; the last supports are those of all of them."""
+    folder = work_folder(spark, "stream")
+    kg = data.graph(spark, d, STAR)
+    kg.repartition(2, "s").write.parquet(f"{folder}/in")
+    stream = spark.readStream.schema("s string, p string, o string").option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    running = RunningSupports(spark, _GIVEN, data.customers_by_region(spark, d), f"{folder}/state")
+    running.start(stream, f"{folder}/checkpoint", once=True).awaitTermination()
+    return running.current()

@@ -1 +1 @@
-"""See the package README section of the same name."""
+"""Rules over triples that keep coming. An extension: nothing in batch depends on it."""
