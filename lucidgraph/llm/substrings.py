@@ -1,17 +1,19 @@
 """Substring dedup: repeats of 50 words by suffix trees that are partitioned by prefix.
 
 A suffix tree of all texts would not fit anywhere, so suffixes are split by their prefixes in groups of which each fits
-in memory, and a group's subtree is built on its own. Two things keep the groups few and small:
+in memory, and a group's subtree is built on its own. Three things keep the groups few and small:
 
 * Which prefix stands for a suffix is chosen by content. Of the 8-word sequences in each window of 50 words the one
   with the least hash is its anchor. Equal windows have the same anchor at the same place, so all of a window's
-  occurrences are in the anchor's group, and windows that follow each other mostly share it.
-* An anchor that occurs in one document only is dropped before any text moves: anchors are counted first, and a bitmap
-  of bounded size tells which ones to look at. A bit that is set by chance costs time, and no result.
-
-Prefixes are of variable length: an anchor with more occurrences than a task should hold is split further, and what
-the parts find is merged by the whole 50 words. In a group the nodes of the tree at depth 1, 2, 4, 8, 16, 32 and 50
-are named level by level (equal names: equal words); a node at depth 50 with two documents or more is a repeat, and
+  occurrences are in the anchor's group, and windows that follow each other mostly share it: they are a run.
+* Equal runs are one variant, whatever their number: only its smallest document matters. Where an anchor has one
+  variant there is nothing to compare, and no text moves.
+* Of the other variants the words are sent once each, by the smallest document. Bitmaps of bounded size tell a task
+  which ones; a bit that is set by chance costs time, and no result.
+
+Prefixes are of variable length: an anchor with more variants than a task should hold is split further, and what the
+parts find is merged by the whole 50 words. In a group the nodes of the tree at depth 1, 2, 4, 8, 16, 32 and 50 are
+named level by level (equal names: equal words); a node at depth 50 that two documents share is a repeat, and
 neighbouring ones in a document join to a maximal one. Nothing below depth 50 changes which words are removed.
 """
 
@@ -27,10 +29,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lucidgraph.llm.shared import by_value, shared_dir, table, written
+from lucidgraph.llm.shared import by_value, shared_dir, table, text_batches, written
 
 WINDOW, ANCHOR = 50, 8
-#: Occurrences of an anchor that one task takes as a group.
+#: Variants of an anchor that one task takes as a group.
 GROUP = 5_000
 #: Words that are handled together; a batch of groups has at most this and one more group.
 CHUNK_WORDS = 400_000
@@ -38,11 +40,11 @@ CHUNK_WORDS = 400_000
 LEAST_BITS, MOST_BITS = 20, 30
 
 _BASE = 0x9E3779B97F4A7C15 | 1
-_SPACES = {i: 32 for i in (9, 10, 11, 12, 13)}
 
 
-def words_of(text: str | None) -> list[str]:
-    return [w for w in (text or "").translate(_SPACES).split(" ") if w]
+def words_of(text: bytes | None) -> list[bytes]:
+    """The words of a UTF-8 text: without an argument, bytes are split at U+0020 and U+0009 to U+000D, and only there."""
+    return (text or b"").split()
 
 
 class Powers:
@@ -66,63 +68,73 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def runs(words: list[str], powers: Powers) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(anchor, first window, windows) of the runs of a text's windows that share an anchor."""
+def least_places(grams: np.ndarray, span: int) -> np.ndarray:
+    """The place of the least of each ``span`` values that follow each other; the first of equals.
+
+    Values are compared by their upper 40 bits, then by place. Minima to the left and to the right within blocks of
+    ``span`` meet in each window.
+    """
+    n = len(grams)
+    keys = (grams >> np.uint64(24) << np.uint64(24)) | (np.arange(n, dtype=np.uint64) & np.uint64(0xFFFFFF))
+    padded = np.full(-(-n // span) * span, np.iinfo(np.uint64).max, np.uint64)
+    padded[:n] = keys
+    blocks = padded.reshape(-1, span)
+    right = np.minimum.accumulate(blocks, axis=1).ravel()
+    left = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
+    low = np.minimum(left[: n - span + 1], right[span - 1 : n]) & np.uint64(0xFFFFFF)
+    at = np.arange(n - span + 1, dtype=np.int64)
+    return at + ((low.astype(np.int64) - at) & 0xFFFFFF)
+
+
+def runs(words: list[bytes], powers: Powers) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(anchor, run, first window, windows) of the runs of a text's windows that share an anchor; run: a hash of all
+    their words."""
     import xxhash
 
     n = len(words)
     if n < WINDOW:
-        return np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
-    h = xxhash.xxh64_intdigest
-    hashes = np.fromiter(map(h, words), np.uint64, n)
+        return (np.empty(0, np.uint64),) * 2 + (np.empty(0, np.int64),) * 2
+    own = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, n)
     up, down = powers.get(n + 1)
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(hashes * up[:n], dtype=np.uint64)])
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(own * up[:n], dtype=np.uint64)])
     grams = _mixed((sums[ANCHOR:] - sums[:-ANCHOR]) * down[: n - ANCHOR + 1])
-    span = WINDOW - ANCHOR + 1
-    # in pieces, as argmin copies a view that isn't contiguous
-    pieces = []
-    for at in range(0, n - WINDOW + 1, 50_000):
-        view = np.lib.stride_tricks.sliding_window_view(grams[at : at + 50_000 + span - 1], span)
-        pieces.append(view.argmin(1) + np.arange(at, at + len(view)))
-    places = np.concatenate(pieces)
+    places = least_places(grams, WINDOW - ANCHOR + 1)
     first = np.flatnonzero(np.concatenate([[True], places[1:] != places[:-1]]))
-    return grams[places[first]], first, np.diff(np.concatenate([first, [len(places)]]))
+    count = np.diff(np.concatenate([first, [len(places)]]))
+    whole = _mixed((sums[first + count + WINDOW - 1] - sums[first]) * down[first] + count.astype(np.uint64))
+    return grams[places[first]], whole, first, count
 
 
-_ANCHOR = pa.schema([("fp", pa.int64()), ("lo", pa.int64()), ("hi", pa.int64()), ("c", pa.int64())])
+_OCCURRENCE = pa.schema([("anchor", pa.int64()), ("run", pa.int64()), ("doc", pa.int64()), ("tkey", pa.int32()), ("first", pa.int32()), ("windows", pa.int32())])
 
 
-def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     powers = Powers()
     for batch in batches:
-        fps, docs = [], []
-        for doc, text in zip(batch.column("doc").to_pylist(), batch.column("text").to_pylist()):
-            fp = runs(words_of(text), powers)[0]
-            fps.append(fp)
-            docs.append(np.full(len(fp), doc, np.int64))
-        if not sum(map(len, fps)):
-            continue
-        # one row per anchor of the batch
-        fp, doc = np.concatenate(fps), np.concatenate(docs)
-        order = np.lexsort((doc, fp))
-        fp, doc = fp[order], doc[order]
-        first = np.flatnonzero(np.concatenate([[True], fp[1:] != fp[:-1]]))
-        last = np.concatenate([first[1:], [len(fp)]]) - 1
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (fp[first].view(np.int64), doc[first], doc[last], last - first + 1)], schema=_ANCHOR)
+        docs, tkeys = batch.column("doc").to_numpy(), batch.column("tkey").to_numpy()
+        found = [runs(words_of(text), powers) for text in batch.column("text").to_pylist()]
+        sizes = [len(f[0]) for f in found]
+        if sum(sizes):
+            anchor, run, first, count = (np.concatenate([f[i] for f in found]) for i in range(4))
+            columns = (anchor.view(np.int64), run.view(np.int64), np.repeat(docs, sizes), np.repeat(tkeys, sizes), first.astype(np.int32), count.astype(np.int32))
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], schema=_OCCURRENCE)
 
 
 def _rows(docs: DataFrame, key: str, text: str) -> DataFrame:
     """(doc, tkey, text): tkey tells texts of the same id apart."""
+    text_batches(docs.sparkSession)
     body = F.coalesce(F.col(text), F.lit(""))
-    return docs.select(F.col(key).cast("long").alias("doc"), F.xxhash64(body).alias("tkey"), body.alias("text"))
+    return docs.select(F.col(key).cast("long").alias("doc"), F.hash(body).alias("tkey"), body.cast("binary").alias("text"))
+
+
+def bitmap(rows: DataFrame, key: str, uri: str, bits: int, many: str = "false") -> None:
+    """Writes (place, some, many): 64 bits at each place for the keys, and for those of which ``many`` holds."""
+    rows = rows.withColumn("bit", F.shiftrightunsigned(F.expr(key), 64 - bits)).withColumns({"place": F.shiftrightunsigned("bit", 6), "one": F.expr("shiftleft(1L, cast(bit & 63 AS int))")})
+    rows.groupBy("place").agg(F.bit_or("one").alias("some"), F.bit_or(F.expr(f"if({many}, one, 0L)")).alias("many")).write.parquet(uri)
 
 
-def bitmap(anchors: DataFrame, uri: str, bits: int) -> None:
-    """Writes (place, some, many): 64 bits at a place, for repeated anchors and for those that exceed a group."""
-    place = F.shiftrightunsigned("fp", 64 - bits)
-    bit = F.expr("shiftleft(1L, cast(bit & 63 AS int))")
-    rows = anchors.withColumn("bit", place).withColumns({"place": F.shiftrightunsigned("bit", 6), "one": bit})
-    rows.groupBy("place").agg(F.bit_or("one").alias("some"), F.bit_or(F.when(F.col("c") > GROUP, F.col("one")).otherwise(F.lit(0).cast("long"))).alias("many")).write.parquet(uri)
+def bits_for(n: int) -> int:
+    return min(MOST_BITS, max(LEAST_BITS, (16 * n).bit_length()))
 
 
 def _load(uri: str, bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -139,45 +151,51 @@ def _load(uri: str, bits: int) -> tuple[np.ndarray, np.ndarray]:
     return some, many
 
 
-def _is_set(bitmap_: np.ndarray, fps: np.ndarray, bits: int) -> np.ndarray:
-    bit = fps >> np.uint64(64 - bits)
+def _is_set(bitmap_: np.ndarray, keys: np.ndarray, bits: int) -> np.ndarray:
+    bit = keys >> np.uint64(64 - bits)
     return (bitmap_[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63)) & np.uint64(1)).astype(bool)
 
 
-_RUN = pa.schema([("fp", pa.int64()), ("salt", pa.int32()), ("doc", pa.int64()), ("tkey", pa.int64()), ("first", pa.int64()), ("windows", pa.int64()), ("words", pa.string()), ("many", pa.bool_())])
-_RUN_DDL = "fp long, salt int, doc long, tkey long, first long, windows long, words string, many boolean"
+#: A variant's key with its smallest document, in SQL and in NumPy.
+_LEADER = "run ^ shiftleft(low, 37) ^ shiftleft(low, 17)"
 
 
-def _emitter(uri: str, bits: int, salts: int):
-    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (some, many), powers = _load(uri, bits), Powers()
-        rows: list[tuple] = []
+def _leader(run: np.ndarray, doc: int) -> np.ndarray:
+    d = np.array([doc], np.int64).view(np.uint64)
+    return run ^ (d << np.uint64(37)) ^ (d << np.uint64(17))
+
+
+_VARIANT = pa.schema([("anchor", pa.int64()), ("salt", pa.int32()), ("run", pa.int64()), ("doc", pa.int64()), ("windows", pa.int32()), ("words", pa.binary()), ("many", pa.bool_())])
+_VARIANT_DDL = "anchor long, salt int, run long, doc long, windows int, words binary, many boolean"
 
-        def out():
-            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(_RUN)], schema=_RUN)
 
+def _emitter(anchors: tuple[str, int], leaders: tuple[str, int], salts: int):
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        (some, many), (leads, _) = _load(*anchors), _load(*leaders)
+        powers = Powers()
+        rows: list[tuple] = []
         for batch in batches:
-            for doc, tkey, text in zip(*(batch.column(c).to_pylist() for c in ("doc", "tkey", "text"))):
+            for doc, text in zip(batch.column("doc").to_pylist(), batch.column("text").to_pylist()):
                 words = words_of(text)
-                fps, first, n = runs(words, powers)
-                hit = np.flatnonzero(_is_set(some, fps, bits)) if len(fps) else []
+                anchor, run, first, count = runs(words, powers)
+                if not len(anchor):
+                    continue
+                hit = np.flatnonzero(_is_set(some, anchor, anchors[1]) & _is_set(leads, _leader(run, doc), leaders[1]))
                 if not len(hit):
                     continue
-                heavy = _is_set(many, fps[hit], bits)
-                salt = hash((doc, tkey)) % salts
-                for j, m in zip(hit.tolist(), heavy.tolist()):
-                    at, k = int(first[j]), int(n[j])
-                    rows.append((int(fps[j].view(np.int64)), salt if m else 0, doc, tkey, at, k, " ".join(words[at : at + k + WINDOW - 1]), m))
+                heavy = _is_set(many, anchor[hit], anchors[1])
+                own = zip(anchor[hit].view(np.int64).tolist(), run[hit].view(np.int64).tolist(), first[hit].tolist(), count[hit].tolist(), heavy.tolist())
+                rows += [(a, r % salts if m else 0, r, doc, c, b" ".join(words[f : f + c + WINDOW - 1]), m) for a, r, f, c, m in own]
                 if len(rows) >= 20_000:
-                    yield out()
+                    yield _batch(rows, _VARIANT)
                     rows = []
         if rows:
-            yield out()
+            yield _batch(rows, _VARIANT)
 
     return emit
 
 
-def nodes(groups: np.ndarray, words: list[str]) -> np.ndarray:
+def nodes(groups: np.ndarray, words: list[bytes]) -> np.ndarray:
     """The name of the tree's node at depth 50 for each place, of words one after the other and their groups' numbers.
 
     Names are equal if and only if the group and the next 50 words are. Places whose 50 words cross a run's end get
@@ -195,21 +213,21 @@ def nodes(groups: np.ndarray, words: list[str]) -> np.ndarray:
 
 
 class Chunk:
-    """The runs of some groups, with the node of each window."""
+    """The variants of some groups, with the node of each window. A variant's smallest document is its first row's."""
 
     def __init__(self, rows: list[dict]):
-        self.rows = rows
-        split = [r["words"].split(" ") for r in rows]
+        self.rows = [r for i, r in enumerate(rows) if not i or (r["anchor"], r["run"]) != (rows[i - 1]["anchor"], rows[i - 1]["run"])]
+        split = [r["words"].split() for r in self.rows]
         lengths = np.array([len(x) for x in split], np.int64)
-        key = np.array([(r["fp"], r["salt"]) for r in rows], np.int64).reshape(-1, 2)
-        group = np.cumsum(np.concatenate([[0], (key[1:] != key[:-1]).any(1)]))[: len(rows)]
+        key = np.array([(r["anchor"], r["salt"]) for r in self.rows], np.int64).reshape(-1, 2)
+        group = np.cumsum(np.concatenate([[0], (key[1:] != key[:-1]).any(1)]))[: len(self.rows)]
         names = nodes(np.repeat(group, lengths), [w for x in split for w in x])
         starts = np.cumsum(lengths) - lengths
-        counts = np.array([r["windows"] for r in rows], np.int64)
-        self.run = np.repeat(np.arange(len(rows)), counts)
+        counts = np.array([r["windows"] for r in self.rows], np.int64)
+        self.run = np.repeat(np.arange(len(self.rows)), counts)
         self.inside = np.arange(len(self.run)) - np.repeat(np.cumsum(counts) - counts, counts)
         self.node = pd.factorize(names[np.repeat(starts, counts) + self.inside])[0]
-        self.doc = np.array([r["doc"] for r in rows], np.int64)[self.run]
+        self.doc = np.array([r["doc"] for r in self.rows], np.int64)[self.run]
         self.split = split
 
     def least(self) -> np.ndarray:
@@ -227,32 +245,34 @@ class Chunk:
         out = []
         for i in first.tolist():
             at = int(self.inside[i])
-            value = xxhash.xxh3_128_intdigest(" ".join(self.split[int(self.run[i])][at : at + WINDOW]))
+            value = xxhash.xxh3_128_intdigest(b" ".join(self.split[int(self.run[i])][at : at + WINDOW]))
             out.append((i, (value >> 64) - (1 << 63), (value & (1 << 64) - 1) - (1 << 63)))
         return out
 
-    def repeats(self, low: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
-        """(doc, tkey, from, to): words under windows that start in a smaller document too; neighbours are joined."""
-        gone = np.flatnonzero(self.doc > low[self.node])
-        if not len(gone):
-            return
-        new = np.flatnonzero(np.concatenate([[True], (np.diff(gone) > 1) | (self.run[gone[1:]] != self.run[gone[:-1]])]))
-        last = np.concatenate([new[1:], [len(gone)]]) - 1
-        for a, b in zip(gone[new].tolist(), gone[last].tolist()):
-            r = self.rows[self.run[a]]
-            yield r["doc"], r["tkey"], r["first"] + int(self.inside[a]), r["first"] + int(self.inside[b]) + WINDOW
+    def found(self, low: np.ndarray) -> pa.RecordBatch:
+        """For each variant the smallest document of its windows, as (windows from, to, document)."""
+        value = low[self.node]
+        new = np.flatnonzero(np.concatenate([[True], (self.run[1:] != self.run[:-1]) | (value[1:] != value[:-1])])) if len(value) else np.empty(0, np.int64)
+        ends = np.concatenate([new[1:], [len(value)]]) if len(new) else new
+        at = self.inside[new]
+        offsets = np.concatenate([np.searchsorted(self.run[new], np.arange(len(self.rows))), [len(new)]]).astype(np.int32)
+        parts = pa.StructArray.from_arrays([pa.array(x.astype(np.int32) if i < 2 else x) for i, x in enumerate((at, at + ends - new, value[new]))], ["a", "b", "low"])
+        return pa.RecordBatch.from_arrays([pa.array([r["anchor"] for r in self.rows], pa.int64()), pa.array([r["run"] for r in self.rows], pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), parts)], ["anchor", "run", "parts"])
+
+
+_FOUND_DDL = "anchor long, run long, parts array<struct<a:int,b:int,low:long>>"
 
 
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[list[dict]]:
-    """Rows sorted by (fp, salt) in lists that end with a group."""
+    """Rows sorted by (anchor, salt) in lists that end with a group."""
     rows, size, key = [], 0, None
     for batch in batches:
         for r in batch.to_pylist():
-            if (r["fp"], r["salt"]) != key:
+            if (r["anchor"], r["salt"]) != key:
                 if size >= CHUNK_WORDS:
                     yield rows
                     rows, size = [], 0
-                key = (r["fp"], r["salt"])
+                key = (r["anchor"], r["salt"])
             rows.append(r)
             size += (r["windows"] or 0) + WINDOW
     if rows:
@@ -263,15 +283,14 @@ def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(schema)], schema=schema)
 
 
-_SPAN = pa.schema([("doc", pa.int64()), ("tkey", pa.int64()), ("start", pa.int64()), ("stop", pa.int64())])
-_NODE = pa.schema([("fp", pa.int64()), ("salt", pa.int32()), ("n1", pa.int64()), ("n2", pa.int64()), ("low", pa.int64())])
+_NODE = pa.schema([("anchor", pa.int64()), ("salt", pa.int32()), ("n1", pa.int64()), ("n2", pa.int64()), ("low", pa.int64())])
 
 
 def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Repeats of groups that are whole."""
+    """Groups that are whole."""
     for rows in _chunks(batches):
         chunk = Chunk(rows)
-        yield _batch(list(chunk.repeats(chunk.least())), _SPAN)
+        yield chunk.found(chunk.least())
 
 
 def _part_nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -279,50 +298,64 @@ def _part_nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for rows in _chunks(batches):
         chunk = Chunk(rows)
         low = chunk.least()
-        yield _batch([(rows[chunk.run[i]]["fp"], rows[chunk.run[i]]["salt"], a, b, int(low[chunk.node[i]])) for i, a, b in chunk.digests()], _NODE)
+        yield _batch([(chunk.rows[chunk.run[i]]["anchor"], chunk.rows[chunk.run[i]]["salt"], a, b, int(low[chunk.node[i]])) for i, a, b in chunk.digests()], _NODE)
 
 
-def _part_repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Repeats of split groups; a part's rows are preceded by its nodes with the smallest document of all parts."""
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Split groups; a part comes with its nodes and their smallest document in all parts."""
     for rows in _chunks(batches):
-        known = {(r["fp"], r["salt"], r["n1"], r["n2"]): r["low"] for r in rows if r["words"] is None}
+        known = {(r["anchor"], r["salt"], r["n1"], r["n2"]): r["low"] for r in rows if r["words"] is None}
         chunk = Chunk([r for r in rows if r["words"] is not None])
-        low = np.array([known[chunk.rows[chunk.run[i]]["fp"], chunk.rows[chunk.run[i]]["salt"], a, b] for i, a, b in chunk.digests()], np.int64)
-        yield _batch(list(chunk.repeats(low)), _SPAN)
+        low = np.array([known[chunk.rows[chunk.run[i]]["anchor"], chunk.rows[chunk.run[i]]["salt"], a, b] for i, a, b in chunk.digests()], np.int64)
+        yield chunk.found(low)
+
+
+def compared(rows: DataFrame, variants: DataFrame) -> DataFrame | None:
+    """(anchor, run, parts) of the variants of anchors that have several, from their trees; None if there is none."""
+    spark = rows.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    several = variants.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.min("low").alias("low"), F.max("high").alias("high")).filter("n > 1 AND low < high").select("anchor", "n")
+    several = written(several, "anchors")
+    size = several.agg(F.count(F.lit(1)).alias("n"), F.max("n").alias("most")).first()
+    if not size["n"]:
+        return None
+    anchors, leaders = (shared_dir(spark, "anchor-bits"), bits_for(size["n"])), (shared_dir(spark, "leader-bits"), bits_for(variants.count()))
+    bitmap(several, "anchor", *anchors, many=f"n > {GROUP}")
+    bitmap(variants.select("run", "low"), _LEADER, *leaders)
+    salts = 2 * -(-size["most"] // GROUP)
+    sent = rows.select("doc", "text").mapInArrow(_emitter(anchors, leaders, salts), _VARIANT_DDL)
+    order = ("anchor", "salt", "run", "doc")
+    together = lambda df: df.repartition(n, "anchor", "salt").sortWithinPartitions(*order)
+    if size["most"] <= GROUP:
+        return together(sent.drop("many")).mapInArrow(_whole, _FOUND_DDL)
+    path = shared_dir(spark, "variants-sent")
+    sent.write.partitionBy("many").parquet(path)
+    sent = spark.read.schema(_VARIANT_DDL).parquet(path)
+    whole = together(sent.filter("NOT many").drop("many")).mapInArrow(_whole, _FOUND_DDL)
+    split = sent.filter("many").drop("many")
+    part = written(together(split).mapInArrow(_part_nodes, "anchor long, salt int, n1 long, n2 long, low long"), "anchor-nodes")
+    told = part.drop("low").join(part.groupBy("n1", "n2").agg(F.min("low").alias("low")), ["n1", "n2"])
+    both = together(split.unionByName(told, allowMissingColumns=True))
+    return whole.unionAll(both.mapInArrow(_parts, _FOUND_DDL))
 
 
 def find_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc, tkey, start, stop): words of a document under windows whose words also start in one with a smaller key.
+    """(doc, tkey, spans): words of a document under windows whose words also start in one with a smaller key.
 
-    ``tkey`` is the text's xxhash64, which tells rows of the same key apart; they don't remove each other's words.
-    Rows with a null key remove nothing and lose nothing. Spans of a document can touch and overlap.
+    ``spans``: array of (start, stop), one row per run of windows; spans of a document can touch and overlap. ``tkey``,
+    a hash of the text, tells rows of the same key apart; they don't remove each other's words. Rows with a null key
+    remove nothing and lose nothing.
     """
-    spark = docs.sparkSession
     rows = _rows(docs, key, text).filter("doc IS NOT NULL")
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    anchors = rows.select("doc", "text").mapInArrow(_anchors, "fp long, lo long, hi long, c long")
-    anchors = anchors.groupBy("fp").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("c").alias("c")).filter("lo < hi").select("fp", "c")
-    anchors = written(anchors, "repeated-anchors")
-    found = anchors.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.max("c"), F.lit(0)).alias("most")).first()
-    bits = min(MOST_BITS, max(LEAST_BITS, (16 * found["n"]).bit_length()))
-    uri = shared_dir(spark, "anchor-bitmap")
-    bitmap(anchors, uri, bits)
-    salts = max(1, -(-found["most"] // GROUP)) * 2
-    # the runs are read twice: those of split groups once more, with what their parts have found
-    path = shared_dir(spark, "anchor-runs")
-    rows.mapInArrow(_emitter(uri, bits, salts), _RUN_DDL).write.partitionBy("many").parquet(path)
-    taken = spark.read.schema(_RUN_DDL).parquet(path)
-    order = ("fp", "salt")
-    whole = taken.filter("NOT many").drop("many").repartition(n, *order).sortWithinPartitions(*order).mapInArrow(_whole, "doc long, tkey long, start long, stop long")
-    if found["most"] <= GROUP:
-        return whole
-    split = taken.filter("many").drop("many")
-    part = split.repartition(n, *order).sortWithinPartitions(*order).mapInArrow(_part_nodes, "fp long, salt int, n1 long, n2 long, low long")
-    part = written(part, "anchor-nodes")
-    least = part.groupBy("n1", "n2").agg(F.min("low").alias("low"))
-    told = part.drop("low").join(least, ["n1", "n2"])
-    both = split.unionByName(told, allowMissingColumns=True).repartition(n, *order).sortWithinPartitions(*order)
-    return whole.unionAll(both.mapInArrow(_part_repeats, "doc long, tkey long, start long, stop long"))
+    taken = written(rows.mapInArrow(_occurrences, "anchor long, run long, doc long, tkey int, first int, windows int"), "runs")
+    variants = taken.groupBy("anchor", "run").agg(F.min("doc").alias("low"), F.max("doc").alias("high"))
+    variants = written(variants, "variants")
+    seen = taken.join(variants.filter("low < high").select("anchor", "run", "low"), ["anchor", "run"], "left")
+    trees = compared(rows, variants)
+    seen = seen.withColumn("parts", F.lit(None).cast("array<struct<a:int,b:int,low:long>>")) if trees is None else seen.join(trees, ["anchor", "run"], "left")
+    alone = f"if(low < doc, array(named_struct('start', first, 'stop', first + windows + {WINDOW - 1})), array())"
+    shared = f"transform(filter(parts, x -> x.low < doc), x -> named_struct('start', first + x.a, 'stop', first + x.b + {WINDOW - 1}))"
+    return seen.select("doc", "tkey", F.expr(f"if(parts IS NULL, {alone}, {shared})").alias("spans")).filter(F.size("spans") > 0)
 
 
 _KEPT = pa.schema([("doc", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.string())])
@@ -340,8 +373,8 @@ def _remover(digest: bool):
                     for s in spans:
                         gone[s["start"] : s["stop"]] = True
                     words = [words[i] for i in np.flatnonzero(~gone).tolist()]
-                kept = " ".join(words)
-                rows.append((doc, n, n - len(words), hashlib.sha256(kept.encode("utf-8", "surrogatepass")).hexdigest() if digest else kept))
+                kept = b" ".join(words)
+                rows.append((doc, n, n - len(words), hashlib.sha256(kept).hexdigest() if digest else kept.decode()))
             yield _batch(rows, _KEPT)
 
     return remove
@@ -353,7 +386,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", dig
     Null and empty texts have no words. Repeated rows lose the same words each. An empty table gives an empty result.
     Other columns are ignored.
     """
-    spans = find_repeats(docs, key, text).groupBy("doc", "tkey").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
+    spans = find_repeats(docs, key, text).groupBy("doc", "tkey").agg(F.flatten(F.collect_list("spans")).alias("spans"))
     rows = _rows(docs, key, text)
     joined = rows.join(spans, ["doc", "tkey"], "left").select("doc", "text", "spans")
     return joined.mapInArrow(_remover(digest), "doc long, n_words long, n_removed long, kept string")
