@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lucidgraph.llm.shared import by_value, table
+from lucidgraph.llm.shared import by_value, table, text_batches
 
 #: Words of a shingle, and the similarity from which a passage counts as a copy.
 SHINGLE, SIMILAR = 5, 0.8
@@ -230,6 +230,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str
     Null and empty texts have none; repeated rows return their copies each; without items or texts the result is empty.
     The texts don't move: each task holds one index of bounded size.
     """
+    text_batches(docs.sparkSession)
     rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
     spark = docs.sparkSession
     found = [rows.mapInArrow(_finder(spark.sparkContext.broadcast(index)), "key long, item_id long, score double, question_overlap double, answer_overlap double, overlap double") for index in build_indexes(items)]
@@ -251,6 +252,7 @@ def _cleaner(index, at: int):
 
 def decontaminate(docs: DataFrame, items: DataFrame, text: str = "text") -> DataFrame:
     """The rows of ``docs``, all columns as they are, that hold no copy of an item."""
+    text_batches(docs.sparkSession)
     out = docs
     for index in build_indexes(items):
         out = out.mapInArrow(_cleaner(docs.sparkSession.sparkContext.broadcast(index), docs.columns.index(text)), docs.schema)

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lucidgraph.llm.shared import by_value, shared_dir, table, written
+from lucidgraph.llm.shared import by_value, shared_dir, table, text_batches, written
 
 ORDER = 4
 #: Bits of a symbol: a character of the basic plane is its code, others share the last; 0 stands before a text.
@@ -33,7 +33,7 @@ HELD_OUT = 4
 MOST_BROADCAST = 2_000_000
 SHARD_ROWS = 2_000_000
 #: Distinct n-grams that a counting task holds before it hands them on, and symbols that are scored together.
-MOST_COUNTED, MOST_SYMBOLS = 2_000_000, 4_000_000
+MOST_COUNTED, MOST_SYMBOLS = 500_000, 500_000
 
 
 def symbols(text: str | None) -> np.ndarray:
@@ -118,6 +118,7 @@ def _mask(k: int) -> int:
 def train(texts: DataFrame) -> DataFrame:
     """The model (lang, ord, code, p, bow) of texts (lang, text): probabilities of seen n-grams, back-off weights of
     contexts (null where an n-gram is only one of the two). Row (lang, 0, 0) has a new symbol's share as ``p``."""
+    text_batches(texts.sparkSession)
     counts = texts.mapInArrow(_count, "lang string, gram long, c long").groupBy("lang", "gram").agg(F.sum("c").alias("a"))
     counts = written(counts, "ngram-counts")
     pooled = counts.filter(F.col("lang") != POOLED).select(F.lit(POOLED).alias("lang"), "gram", "a").unionByName(counts.filter(F.col("lang") == POOLED))
@@ -262,6 +263,7 @@ def _scorer(model: Model, languages: frozenset[str], lang: int, text: int):
 
 def scored(docs: DataFrame, model: Model, languages: frozenset[str], text: str, lang: str) -> DataFrame:
     """All columns of ``docs``, the model that was used and the perplexity."""
+    text_batches(docs.sparkSession)
     schema = docs.select("*", F.lit("").alias("_model"), F.lit(0.0).alias("_perplexity")).schema
     return docs.mapInArrow(_scorer(model, languages, docs.columns.index(lang), docs.columns.index(text)), schema)
 

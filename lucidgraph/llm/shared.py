@@ -44,8 +44,15 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(spaced, " "), "")
 
 
-def n_rows_of(df: DataFrame) -> int:
-    return df.count()
+#: Rows of an Arrow batch of whole texts; Spark's own number is meant for short rows.
+TEXT_ROWS = 1_000
+
+
+def text_batches(spark: SparkSession) -> None:
+    """Has the session hand texts to Python in smaller batches, unless it has been told a number."""
+    name, usual = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000"
+    if spark.conf.get(name, usual) == usual:
+        spark.conf.set(name, str(TEXT_ROWS))
 
 
 def by_value(module) -> None:
