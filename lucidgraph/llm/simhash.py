@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lucidgraph.llm.shared import by_value, table, written
+from lucidgraph.llm.shared import by_value, table, text_batches, written
 
 BYTES, MOST_BITS, SHINGLE, SEED = 8, 4, 4, 42
 #: Members of a posting list that are compared as one block; longer lists are compared block by block.
@@ -32,16 +32,19 @@ def covering_triples(places: int = BYTES) -> list[tuple[int, int, int]]:
     return [c for c in combinations(range(places), 3) if fits(c)]
 
 
-def fingerprint(text: str | None) -> int:
-    """The SimHash of a text: see ``fingerprints``."""
+def fingerprint(text: bytes | None) -> int:
+    """The SimHash of a UTF-8 text: see ``fingerprints``.
+
+    Of bytes, lower() changes A-Z only, and split() splits at U+0020 and U+0009 to U+000D only.
+    """
     import xxhash
 
-    own = [w for w in _words(text)]
+    own = (text or b"").lower().split()
     if not own:
         return 0
     n = max(1, len(own) - SHINGLE + 1)
     h = xxhash.xxh64_intdigest
-    hashes = np.fromiter((h(" ".join(own[i : i + SHINGLE]), SEED) for i in range(n)), np.uint64, n)
+    hashes = np.fromiter((h(b" ".join(own[i : i + SHINGLE]), SEED) for i in range(n)), np.uint64, n)
     ones = np.zeros(64, np.int64)
     for at in range(0, n, 1 << 16):
         ones += np.unpackbits(hashes[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
@@ -49,13 +52,6 @@ def fingerprint(text: str | None) -> int:
     return int(bits.view(np.uint64)[0])
 
 
-_LOWER = {i: i + 32 for i in range(65, 91)} | {i: 32 for i in (9, 10, 11, 12, 13)}
-
-
-def _words(text: str | None) -> list[str]:
-    return [w for w in (text or "").translate(_LOWER).split(" ") if w]
-
-
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         prints = np.array([fingerprint(t) for t in batch.column("text").to_pylist()], np.uint64).view(np.int64)
@@ -67,7 +63,8 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
 
     A bit is set if more than half the hashes have it. Null texts and texts without words have fingerprint 0.
     """
-    rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
+    text_batches(docs.sparkSession)
+    rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).cast("binary").alias("text"))
     return rows.mapInArrow(_fingerprints, "key long, print long")
 
 
