@@ -156,7 +156,7 @@ def _trainer(t: Training, epochs: int, seed: int, names: list[str]):
         rng = np.random.default_rng(seed)
         loss = 0.0
         for _ in range(epochs):
-            order, loss = rng.permutation(len(data)), 0.0
+            order = rng.permutation(len(data))
             for at in range(0, len(data), t.batch):
                 pos = np.repeat(data[order[at : at + t.batch]], t.negatives, 0)
                 neg = pos.copy()
@@ -180,7 +180,7 @@ def _trainer(t: Training, epochs: int, seed: int, names: list[str]):
         out = [("e", n, v) for n, v in zip(ents, e)] + [("r", n, v) for n, v in zip(rels, r_)] + [("w", n, v.ravel()) for n, v in w.items()]
         for at in range(0, len(out), 5000):
             part = out[at : at + 5000]
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in part]), pa.array([x[1] for x in part]), pa.array([x[2].tolist() for x in part], pa.list_(pa.float64())), pa.array([loss / len(data)] * len(part))], schema=_VEC)
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in part]), pa.array([x[1] for x in part]), pa.array([x[2].tolist() for x in part], pa.list_(pa.float64())), pa.array([loss / len(data) / max(1, epochs)] * len(part))], schema=_VEC)
 
     return train
 
@@ -230,7 +230,7 @@ def start(triples: DataFrame, training: Training, old: Embedding | None = None)
 
 
 def train(triples: DataFrame, training: Training | None = None, old: Embedding | None = None, tasks: int = 1) -> tuple[Embedding, list[float]]:
-    """A trained model and the mean loss of each round. On from ``old``, a quarter of the epochs is enough."""
+    """A trained model and the mean loss of a triple and epoch in each round. On from ``old``, a quarter of the epochs is enough."""
     t = training or Training()
     if t.model not in MODELS:
         raise ValueError(f"no such model: {t.model}; there are {', '.join(MODELS)}")
