@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lucidgraph.llm import decontamination, mixing, perplexity, sharding, simhash
 from lucidgraph.llm.shared import table, written
@@ -11,9 +12,25 @@ from lucidgraph.llm.shared import table, written
 SHARDS = 40
 
 
+#: Columns that the operators read; a document's others travel in one, so that no name of theirs clashes.
+READ = ("doc_id", "text", "lang", "source")
+OTHERS = "_document"
+
+
+def apart(docs: DataFrame) -> DataFrame:
+    others = [F.col(f"`{c}`") for c in docs.columns if c not in READ]
+    return docs.select(*READ, F.struct(*others).alias(OTHERS)) if others else docs.select(*READ)
+
+
+def together(rows: DataFrame, columns: list[str]) -> list:
+    """The documents' columns, by their names."""
+    return [rows[c] if c in READ else rows[OTHERS][c].alias(c) for c in columns]
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose perplexity is within their language's limits; trusted are those that ``labels`` trusts."""
-    return perplexity.keep_good(docs, table(spark, sf_dir, "labels"))
+    kept = perplexity.keep_good(apart(docs), table(spark, sf_dir, "labels"))
+    return kept.select(*together(kept, docs.columns))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,12 +45,15 @@ def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it."""
-    return mixing.emit(mixing.mix(docs)).select(*docs.columns)
+    rows = mixing.emit(mixing.mix(apart(docs)))
+    return rows.select(*together(rows, docs.columns))
 
 
 def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All rows with their shard and slot."""
-    return sharding.shard_records(docs, [1.0] * SHARDS).select(*docs.columns, "size", "text_crc32", "law", "shard", "slot", "grown_shard")
+    """All rows with their shard and slot, which take the place of columns of their names."""
+    rows = sharding.shard_records(apart(docs), [1.0] * SHARDS)
+    new = ["size", "text_crc32", "law", "shard", "slot", "grown_shard"]
+    return rows.select(*together(rows, [c for c in docs.columns if c not in new]), *new)
 
 
 STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("leaks", leaks), ("mix", mix), ("shards", shards)]
