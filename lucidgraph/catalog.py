@@ -784,3 +784,59 @@ def st_running_supports(spark, d):
     running = RunningSupports(spark, _GIVEN, data.customers_by_region(spark, d), f"{folder}/state")
     running.start(stream, f"{folder}/checkpoint", once=True).awaitTermination()
     return running.current()
+
+
+# ---- further checks of parameters ----
+
+
+@query(_mined_sql(f"SELECT * FROM ({_STAR}) WHERE p <> 'status'", 0.1, 20))
+def mine_without_relation(spark, d):
+    """A relation that is excluded is in no rule."""
+    s = mining.Settings(shape="path", max_length=2, min_coverage=0.1, beam=20, excluded_relations=("status",))
+    rules, grid = mining.Miner(data.graph(spark, d, STAR), s).mine(data.customers_by_region(spark, d))
+    return mining.rules_table(rules, grid, "livesIn").select("cluster", "body_text", "support", "size", *_r(*_MARKS))
+
+
+@query(_mined_sql(_STAR, 0.5, 2))
+def mine_narrow_beam(spark, d):
+    """Two bindings of each pattern, over half of a region's customers."""
+    s = mining.Settings(shape="path", max_length=2, min_coverage=0.5, beam=2)
+    rules, grid = mining.Miner(data.graph(spark, d, STAR), s).mine(data.customers_by_region(spark, d))
+    return mining.rules_table(rules, grid, "livesIn").select("cluster", "body_text", "support", "size", *_r(*_MARKS))
+
+
+@query(
+    f"""WITH m AS ({_mined_sql(_STAR, 0.1, 20)}), r AS (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY x_coverage DESC NULLS LAST, body_text) AS n FROM m)
+SELECT cluster, '?x livesIn ' || cluster || chr(9) || '<=' || chr(9) || body_text || chr(9) || 'c_support: ' || support AS value FROM r WHERE n <= 10"""
+)
+def snk_rule_lines(spark, d):
+    order = Window.partitionBy("cluster").orderBy(F.col("x_coverage").desc_nulls_last(), "body_text")
+    rows = mine_paths(spark, d).withColumns({"head_rel": F.lit("livesIn"), "c_support": F.col("support"), "rank": F.row_number().over(order)})
+    return output.rule_lines(rows, 10, ("c_support",)).select("cluster", "value")
+
+
+@query(f"WITH {_FIRED} SELECT s, 'livesIn' AS p, o, round(avg(quality), 6) AS quality FROM fired GROUP BY s, o HAVING avg(quality) > 0.3::DOUBLE")
+def ded_infer_mean_quality(spark, d):
+    """Another aggregate of a prediction's rules than the best."""
+    found = deduction.infer(data.graph(spark, d, STAR), _rules(), min_quality=0.3, quality=F.avg)
+    return found.select("s", "p", "o", *_r("quality"))
+
+
+@query(f"WITH kg AS ({data.graph_sql()}) SELECT p, count(*) AS n FROM kg GROUP BY p")
+def src_size(spark, d):
+    return data.graph(spark, d).groupBy("p").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"SELECT i, count(*) AS n, round(min(d), 6) AS least FROM (WITH v AS (SELECT vec_id AS id, {_V} AS v FROM embeddings) SELECT a.id AS i, {_D2} AS d FROM v a JOIN v b ON a.id < b.id) GROUP BY i")
+def snk_distance_lines(spark, d):
+    """The upper triangle of the distances written as lines and read again."""
+    lines = output.distance_lines(evaluation.distances(data.vectors(spark, d)))
+    f = F.split("value", "\t")
+    rows = lines.select(f[0].cast("long").alias("i"), f[2].cast("double").alias("d"))
+    return rows.groupBy("i").agg(F.count(F.lit(1)).alias("n"), F.round(F.min("d"), 6).alias("least"))
+
+
+@query(f"SELECT truth, predicted, n FROM (SELECT truth, predicted, count(*) AS n FROM ({_PAIRS_SQL}) GROUP BY ALL) WHERE n = (SELECT max(n) FROM (SELECT count(*) AS n FROM ({_PAIRS_SQL}) GROUP BY truth, predicted))")
+def ev_largest_cells(spark, d):
+    table = evaluation.contingency(_pairs(spark, d))
+    return table.join(table.agg(F.max("n").alias("n")), "n").select("truth", "predicted", "n")
