@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import hashlib
 import sys
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,12 +37,24 @@ WINDOW, ANCHOR = 50, 8
 GROUP = 5_000
 #: Words that are handled together; a batch of groups has at most this and one more group.
 CHUNK_WORDS = 400_000
+#: Occurrences from which a run is hot, and hot runs up to which all executors get them (about 100 bytes each).
+HOT, MOST_HOT = 2_000, 200_000
 #: Bits of the bitmaps, as powers of two.
 LEAST_BITS, MOST_BITS = 20, 30
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 
 
+def packed(words: list[bytes]) -> bytes:
+    """Words, deflated: a run is sent through a shuffle once."""
+    pack = zlib.compressobj(9, zlib.DEFLATED, -12, 5)
+    return pack.compress(b" ".join(words)) + pack.flush()
+
+
+def unpacked(data: bytes) -> list[bytes]:
+    return zlib.decompress(data, -12).split()
+
+
 def words_of(text: bytes | None) -> list[bytes]:
     """The words of a UTF-8 text: without an argument, bytes are split at U+0020 and U+0009 to U+000D, and only there."""
     return (text or b"").split()
@@ -185,7 +198,7 @@ def _emitter(anchors: tuple[str, int], leaders: tuple[str, int], salts: int):
                     continue
                 heavy = _is_set(many, anchor[hit], anchors[1])
                 own = zip(anchor[hit].view(np.int64).tolist(), run[hit].view(np.int64).tolist(), first[hit].tolist(), count[hit].tolist(), heavy.tolist())
-                rows += [(a, r % salts if m else 0, r, doc, c, b" ".join(words[f : f + c + WINDOW - 1]), m) for a, r, f, c, m in own]
+                rows += [(a, r % salts if m else 0, r, doc, c, packed(words[f : f + c + WINDOW - 1]), m) for a, r, f, c, m in own]
                 if len(rows) >= 20_000:
                     yield _batch(rows, _VARIANT)
                     rows = []
@@ -217,7 +230,7 @@ class Chunk:
 
     def __init__(self, rows: list[dict]):
         self.rows = [r for i, r in enumerate(rows) if not i or (r["anchor"], r["run"]) != (rows[i - 1]["anchor"], rows[i - 1]["run"])]
-        split = [r["words"].split() for r in self.rows]
+        split = [unpacked(r["words"]) for r in self.rows]
         lengths = np.array([len(x) for x in split], np.int64)
         key = np.array([(r["anchor"], r["salt"]) for r in self.rows], np.int64).reshape(-1, 2)
         group = np.cumsum(np.concatenate([[0], (key[1:] != key[:-1]).any(1)]))[: len(self.rows)]
@@ -348,11 +361,21 @@ def find_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     """
     rows = _rows(docs, key, text).filter("doc IS NOT NULL")
     taken = written(rows.mapInArrow(_occurrences, "anchor long, run long, doc long, tkey int, first int, windows int"), "runs")
-    variants = taken.groupBy("anchor", "run").agg(F.min("doc").alias("low"), F.max("doc").alias("high"))
+    variants = taken.groupBy("anchor", "run").agg(F.min("doc").alias("low"), F.max("doc").alias("high"), F.count(F.lit(1)).alias("n"))
     variants = written(variants, "variants")
-    seen = taken.join(variants.filter("low < high").select("anchor", "run", "low"), ["anchor", "run"], "left")
     trees = compared(rows, variants)
-    seen = seen.withColumn("parts", F.lit(None).cast("array<struct<a:int,b:int,low:long>>")) if trees is None else seen.join(trees, ["anchor", "run"], "left")
+    trees = written(trees, "trees") if trees is not None else taken.sparkSession.createDataFrame([], _FOUND_DDL)
+    both = ["anchor", "run"]
+    again = variants.filter("low < high").select("anchor", "run", "low")
+    hot = variants.filter(F.col("n") > HOT).select("anchor", "run", F.ceil(F.col("n") / HOT).cast("int").alias("salts"))
+    if 0 < hot.count() <= MOST_HOT:
+        # runs with very many occurrences are few: these are dealt to several tasks, and what is known of them to each
+        salted = lambda df: df.join(F.broadcast(hot), both, "left")
+        every = F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1)).alias("salt")
+        taken = salted(taken).withColumn("salt", F.pmod(F.xxhash64("doc"), F.coalesce("salts", F.lit(1))).cast("int")).drop("salts")
+        again, trees = salted(again).select("anchor", "run", "low", every), salted(trees).select("anchor", "run", "parts", every)
+        both = [*both, "salt"]
+    seen = taken.join(again, both, "left").join(trees, both, "left")
     alone = f"if(low < doc, array(named_struct('start', first, 'stop', first + windows + {WINDOW - 1})), array())"
     shared = f"transform(filter(parts, x -> x.low < doc), x -> named_struct('start', first + x.a, 'stop', first + x.b + {WINDOW - 1}))"
     return seen.select("doc", "tkey", F.expr(f"if(parts IS NULL, {alone}, {shared})").alias("spans")).filter(F.size("spans") > 0)
