@@ -18,6 +18,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lucidgraph.llm.shared import by_value, shared_dir, table, text_batches, written
 
@@ -121,39 +122,41 @@ def train(texts: DataFrame) -> DataFrame:
     text_batches(texts.sparkSession)
     counts = texts.mapInArrow(_count, "lang string, gram long, c long").groupBy("lang", "gram").agg(F.sum("c").alias("a"))
     counts = written(counts, "ngram-counts")
-    pooled = counts.filter(F.col("lang") != POOLED).select(F.lit(POOLED).alias("lang"), "gram", "a").unionByName(counts.filter(F.col("lang") == POOLED))
-    pooled = pooled.groupBy("lang", "gram").agg(F.sum("a").alias("a"))
-    orders = {ORDER: counts.filter(F.col("lang") != POOLED).unionByName(pooled)}
+    pooled = counts.withColumn("lang", F.lit(POOLED)).groupBy("lang", "gram").agg(F.sum("a").alias("a"))
+    # each table is written: the next order is a small job of its own
+    orders = {ORDER: written(counts.filter(F.col("lang") != POOLED).unionByName(pooled), f"ngram-order-{ORDER}")}
     for k in range(ORDER - 1, 0, -1):
         # continuation counts: distinct symbols before; what stands at a text's start keeps its count
         suffix = F.col("gram").bitwiseAND(F.lit(_mask(k)))
         first = F.shiftrightunsigned("gram", BITS * (k - 1)).bitwiseAND(F.lit(LAST)) if k > 1 else F.lit(1)
         below = orders[k + 1].select("lang", suffix.alias("gram"), "a").withColumn("at_start", first == 0)
-        orders[k] = below.groupBy("lang", "gram").agg(F.when(F.first("at_start"), F.sum("a")).otherwise(F.count(F.lit(1))).alias("a"))
-    tables = written(_union([t.select("lang", F.lit(k).alias("ord"), "gram", "a") for k, t in orders.items()]), "ngram-orders")
-    # discounts by the counts of counts: three numbers per language and order
+        orders[k] = written(below.groupBy("lang", "gram").agg(F.when(F.first("at_start"), F.sum("a")).otherwise(F.count(F.lit(1))).alias("a")), f"ngram-order-{k}")
+    # discounts by the counts of counts: three numbers per language
     n = [F.sum((F.col("a") == i).cast("long")).cast("double").alias(f"n{i}") for i in (1, 2, 3, 4)]
-    of = tables.groupBy("lang", "ord").agg(*n)
     y = F.expr("n1 / (n1 + 2 * n2)")
     usual = F.expr("n1 > 0 AND n2 > 0 AND n3 > 0 AND n4 > 0")
     d = [F.when(usual, F.least(F.lit(float(i)), F.greatest(F.lit(0.05), i - (i + 1) * y * F.col(f"n{i + 1}") / F.col(f"n{i}")))).otherwise(F.lit(i / 2)).alias(f"d{i}") for i in (1, 2, 3)]
-    discounts = of.select("lang", "ord", *d)
-    rows = tables.join(discounts, ["lang", "ord"]).withColumn("d", F.expr("CASE a WHEN 1 THEN d1 WHEN 2 THEN d2 ELSE d3 END"))
-    rows = rows.withColumn("context", F.shiftrightunsigned("gram", BITS))
-    contexts = rows.groupBy("lang", "ord", "context").agg(F.sum("a").cast("double").alias("total"), F.sum("d").alias("lost"), F.count(F.lit(1)).alias("types"))
-    seen = rows.join(contexts, ["lang", "ord", "context"]).select("lang", "ord", "gram", F.expr("(a - least(d, a)) / total").alias("own"), F.expr("lost / total").alias("weight"))
-    seen = written(seen, "ngram-seen")
-    # a new symbol takes part as one type more
-    new = contexts.filter("ord = 1").select("lang", F.expr("lost / total / (types + 1)").alias("p0"))
-    p = seen.filter("ord = 1").join(new, "lang").select("lang", "gram", (F.col("own") + F.col("p0")).alias("p"))
-    levels = [p.select("lang", F.lit(1).alias("ord"), "gram", "p")]
-    for k in range(2, ORDER + 1):
-        here = seen.filter(F.col("ord") == k).withColumn("suffix", F.col("gram").bitwiseAND(F.lit(_mask(k - 1))))
-        p = here.join(p.select("lang", F.col("gram").alias("suffix"), F.col("p").alias("lower")), ["lang", "suffix"]).select("lang", "gram", (F.col("own") + F.col("weight") * F.col("lower")).alias("p"))
-        levels.append(p.select("lang", F.lit(k).alias("ord"), "gram", "p"))
-    weights = contexts.filter("ord > 1").select("lang", (F.col("ord") - 1).alias("ord"), F.col("context").alias("gram"), F.expr("lost / total").alias("bow"))
-    model = _union(levels).join(weights, ["lang", "ord", "gram"], "full")
-    return model.select("lang", "ord", F.col("gram").alias("code"), "p", "bow").unionByName(new.select("lang", F.lit(0).alias("ord"), F.lit(0).cast("long").alias("code"), F.col("p0").alias("p"), F.lit(None).cast("double").alias("bow")))
+    parts, lower = [], None
+    for k in range(1, ORDER + 1):
+        discounts = orders[k].groupBy("lang").agg(*n).select("lang", *d)
+        rows = orders[k].join(discounts, "lang").withColumn("d", F.expr("CASE a WHEN 1 THEN d1 WHEN 2 THEN d2 ELSE d3 END"))
+        rows = rows.select("lang", "gram", "a", "d", F.shiftrightunsigned("gram", BITS).alias("context"))
+        contexts = rows.groupBy("lang", "context").agg(F.sum("a").cast("double").alias("total"), F.sum("d").alias("lost"), F.count(F.lit(1)).alias("types"))
+        contexts = written(contexts.select("lang", "context", "total", F.expr("lost / total").alias("weight"), "types"), f"ngram-contexts-{k}")
+        seen = rows.join(contexts, ["lang", "context"]).select("lang", "gram", F.expr("(a - least(d, a)) / total").alias("own"), "weight", "types")
+        if k == 1:
+            # a new symbol takes part as one type more
+            p = seen.select("lang", "gram", F.expr("own + weight / (types + 1)").alias("p"))
+            nothing = F.lit(None).cast("double").alias("bow")
+            parts.append(contexts.select("lang", F.lit(0).alias("ord"), F.lit(0).cast("long").alias("code"), F.expr("weight / (types + 1)").alias("p"), nothing))
+        else:
+            seen = seen.withColumn("suffix", F.col("gram").bitwiseAND(F.lit(_mask(k - 1))))
+            p = seen.join(lower.select("lang", F.col("gram").alias("suffix"), F.col("p").alias("under")), ["lang", "suffix"]).select("lang", "gram", F.expr("own + weight * under").alias("p"))
+            bows = contexts.select("lang", F.col("context").alias("gram"), F.col("weight").alias("bow"))
+            parts.append(lower.join(bows, ["lang", "gram"], "full").select("lang", F.lit(k - 1).alias("ord"), F.col("gram").alias("code"), "p", "bow"))
+        lower = written(p, f"ngram-probabilities-{k}")
+    parts.append(lower.select("lang", F.lit(ORDER).alias("ord"), F.col("gram").alias("code"), "p", nothing))
+    return _union(parts)
 
 
 def _union(frames: list[DataFrame]) -> DataFrame:
@@ -264,7 +267,7 @@ def _scorer(model: Model, languages: frozenset[str], lang: int, text: int):
 def scored(docs: DataFrame, model: Model, languages: frozenset[str], text: str, lang: str) -> DataFrame:
     """All columns of ``docs``, the model that was used and the perplexity."""
     text_batches(docs.sparkSession)
-    schema = docs.select("*", F.lit("").alias("_model"), F.lit(0.0).alias("_perplexity")).schema
+    schema = T.StructType([*docs.schema, T.StructField("_model", T.StringType()), T.StructField("_perplexity", T.DoubleType())])
     return docs.mapInArrow(_scorer(model, languages, docs.columns.index(lang), docs.columns.index(text)), schema)
 
 

@@ -227,7 +227,8 @@ def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     kept = docs.join(stays.select(F.col("key").alias(key)), key, "left_semi")
     if stays.filter("_rows > 1").first() is not None:
         order = Window.partitionBy(key).orderBy(F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
-        kept = kept.withColumn("_n", F.row_number().over(order)).filter("_n = 1").drop("_n")
+        place = "_" * (1 + max(map(len, docs.columns)))  # longer than any name
+        kept = kept.withColumn(place, F.row_number().over(order)).filter(F.col(place) == 1).drop(place)
     return kept.unionByName(docs.filter(F.col(key).isNull()))
 
 
