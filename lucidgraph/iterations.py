@@ -108,7 +108,7 @@ def run(kg: DataFrame, targets: DataFrame, plan: Plan | None = None, labelled: b
         found = cluster(vectors.select(F.col("name").alias("id"), "vec"))
         name = F.concat(F.lit(AUX_CLUSTER), F.col("cluster").cast("string"), F.lit(f"_{number}"))
         clusters = stored(found.select(F.col("id").alias("entity"), F.lit(AUX_RELATION).alias("relation"), name.alias("label")), "clusters")
-        table = stored(mining.explain(kg, clusters, plan.mining), "rules")
+        table = stored(mining.explain(kg, clusters, plan.mining, ready=True), "rules")
         rules = mining.as_rules(table)
         every = [r for own in rules.values() for r in own]
         feedback = stored(deduction.feedback(kg, every, entities, plan.strategy, plan.min_quality, iteration=number), "feedback") if every else kg.limit(0)

@@ -98,13 +98,16 @@ def expansions(rule: Rule, level: int, settings: Settings) -> list[tuple[str, st
 
 
 class Miner:
-    """Matches of a level are kept as a table (rule_id, v_x, other variables), and the next level extends them."""
+    """Matches of a level are kept as a table (rule_id, v_x, other variables), and the next level extends them.
 
-    def __init__(self, kg: DataFrame, settings: Settings | None = None):
-        self.kg, self.settings = kg.select("s", "p", "o").distinct(), settings or Settings()
-        s = self.settings
+    The graph is written once without repeats, as every level joins it; ``ready``: it is such a table already.
+    """
+
+    def __init__(self, kg: DataFrame, settings: Settings | None = None, ready: bool = False):
+        self.settings = s = settings or Settings()
         if s.excluded_relations:
-            self.kg = self.kg.filter(~F.col("p").isin(list(s.excluded_relations)))
+            kg = kg.filter(~F.col("p").isin(list(s.excluded_relations)))
+        self.kg = kg if ready else stored(kg.select("s", "p", "o").distinct(), "kg")
         constant, categorical = set(s.constant_relations), set(s.categorical_relations)
         if s.with_constants and s.use_stats and not s.first_generation:
             # one row per predicate
@@ -263,10 +266,10 @@ def top_rules(table: DataFrame, k: int = 10, objective: str = "x_coverage") -> D
     return table.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
-def explain(kg: DataFrame, labels: DataFrame, settings: Settings | None = None) -> DataFrame:
+def explain(kg: DataFrame, labels: DataFrame, settings: Settings | None = None, ready: bool = False) -> DataFrame:
     """The top rules of every cluster of ``labels`` (entity, relation, label)."""
     s = settings or Settings()
-    rules, grid = Miner(kg, s).mine(labels)
+    rules, grid = Miner(kg, s, ready).mine(labels)
     first = labels.select("relation").first()
     table = rules_table(rules, grid, first["relation"] if first else "") if rules else rules_table([], grid, "")
     return top_rules(table, s.top, s.objective)
