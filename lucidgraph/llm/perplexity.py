@@ -16,7 +16,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -33,6 +33,10 @@ HELD_OUT = 4
 #: Trusted ids up to this number go to all executors (16 bytes each); beyond it they are joined.
 MOST_BROADCAST = 2_000_000
 SHARD_ROWS = 2_000_000
+#: Languages up to which a row for each goes to all tasks.
+MOST_LANGUAGES = 10_000
+#: Symbols of a language's middle that are put beside each text's own.
+PRIOR = 200
 #: Distinct n-grams that a counting task holds before it hands them on, and symbols that are scored together.
 MOST_COUNTED, MOST_SYMBOLS = 500_000, 500_000
 
@@ -116,9 +120,12 @@ def _mask(k: int) -> int:
     return (1 << BITS * k) - 1
 
 
-def train(texts: DataFrame) -> DataFrame:
+def train(texts: DataFrame, few: bool = True) -> DataFrame:
     """The model (lang, ord, code, p, bow) of texts (lang, text): probabilities of seen n-grams, back-off weights of
-    contexts (null where an n-gram is only one of the two). Row (lang, 0, 0) has a new symbol's share as ``p``."""
+    contexts (null where an n-gram is only one of the two). Row (lang, 0, 0) has a new symbol's share as ``p``.
+
+    ``few``: the languages are so few that a row for each can go to all tasks. Else n-grams are joined by language.
+    """
     text_batches(texts.sparkSession)
     counts = texts.mapInArrow(_count, "lang string, gram long, c long").groupBy("lang", "gram").agg(F.sum("c").alias("a"))
     counts = written(counts, "ngram-counts")
@@ -139,6 +146,7 @@ def train(texts: DataFrame) -> DataFrame:
     parts, lower = [], None
     for k in range(1, ORDER + 1):
         discounts = orders[k].groupBy("lang").agg(*n).select("lang", *d)
+        discounts = F.broadcast(discounts) if few else discounts
         rows = orders[k].join(discounts, "lang").withColumn("d", F.expr("CASE a WHEN 1 THEN d1 WHEN 2 THEN d2 ELSE d3 END"))
         rows = rows.select("lang", "gram", "a", "d", F.shiftrightunsigned("gram", BITS).alias("context"))
         contexts = rows.groupBy("lang", "context").agg(F.sum("a").cast("double").alias("total"), F.sum("d").alias("lost"), F.count(F.lit(1)).alias("types"))
@@ -272,52 +280,70 @@ def scored(docs: DataFrame, model: Model, languages: frozenset[str], text: str,
 
 
 class Classifier:
-    """Model, the languages that have one of their own, and (low, high) perplexities by language."""
+    """Model, the languages that have one of their own, and (middle, low, high) by language, as logarithms."""
 
-    def __init__(self, model: Model, languages: frozenset[str], limits: dict[str, tuple[float, float]]):
+    def __init__(self, model: Model, languages: frozenset[str], limits: dict[str, tuple[float, float, float]]):
         self.model, self.languages, self.limits = model, languages, limits
 
 
-def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", quantile: float = 0.95, slack: float = 6.0) -> Classifier | None:
+def shrunk(x: Column, symbols_: Column, middle: Column) -> Column:
+    """A text's mean logarithm as if ``PRIOR`` symbols of its language's middle stood beside its own: short texts say
+    little, and are not judged by a few symbols."""
+    n = symbols_.cast("double")
+    return (n * x + F.lit(float(PRIOR)) * middle) / (n + F.lit(float(PRIOR)))
+
+
+def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", quantile: float = 0.95, slack: float = 8.0) -> Classifier | None:
     """Trains on the trusted rows of ``docs`` and sets each language's limits; None if no row is trusted.
 
-    Limits come from the logarithms of held-out trusted texts' perplexities, by language: the median plus ``slack``
-    times its distance to the ``quantile``, and as much below. All trusted rows count, whatever their number.
+    Limits come from held-out trusted texts by language, from their mean logarithms, shrunk by length: the median plus
+    ``slack`` times its distance to the ``quantile``, and as much below. All trusted rows count, whatever their number.
     """
     texts = trusted_texts(docs, labels, key, text, lang)
     sizes = {r["lang"]: r["n"] for r in texts.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not sizes:
         return None
     languages = frozenset(x for x, n in sizes.items() if n >= LEAST_TRUSTED and x != POOLED)
-    model = save(train(texts.filter("NOT held").select("lang", "text")))
+    # a language with few texts has a part in the pooled model only
+    own = F.when(F.col("lang").isin(sorted(languages)), F.col("lang")).otherwise(F.lit(POOLED)).alias("lang")
+    model = save(train(texts.filter("NOT held").select(own, "text"), len(languages) <= MOST_LANGUAGES))
     if POOLED not in model.languages():
         return None
-    checked = scored(texts.filter("held").select("lang", "text"), model, languages, "text", "lang").select("_model", F.log("_perplexity").alias("x"))
-    checked = written(checked.filter("x IS NOT NULL"), "held-out-perplexities")
+    checked = scored(texts.filter("held").select("lang", "text"), model, languages, "text", "lang")
+    checked = written(checked.select("_model", F.length("text").alias("n"), F.log("_perplexity").alias("x")).filter("x IS NOT NULL"), "held-out-perplexities")
     # the pooled limits are of all, by whatever model
+    middles = {r["_model"]: r["m"] for r in checked.groupBy("_model").agg(F.percentile("x", 0.5).alias("m")).collect()}
+    middles[POOLED] = checked.agg(F.percentile("x", 0.5)).first()[0]
+    if middles[POOLED] is None:
+        return None
+    drawn = checked.withColumn("x", shrunk(F.col("x"), F.col("n"), _by_model(middles, middles[POOLED])))
     marks = [F.percentile("x", q).alias(n) for n, q in (("low", 1 - quantile), ("mid", 0.5), ("high", quantile))]
-    rows = checked.groupBy("_model").agg(*marks).collect() + [r for r in checked.agg(F.lit(POOLED).alias("_model"), *marks).collect() if r["mid"] is not None]
-    limits = {r["_model"]: (float(np.exp(r["mid"] - slack * (r["mid"] - r["low"]))), float(np.exp(r["mid"] + slack * (r["high"] - r["mid"])))) for r in rows}
+    rows = drawn.groupBy("_model").agg(*marks).collect() + drawn.agg(F.lit(POOLED).alias("_model"), *marks).collect()
+    limits = {r["_model"]: (middles[r["_model"]], r["mid"] - slack * (r["mid"] - r["low"]), r["mid"] + slack * (r["high"] - r["mid"])) for r in rows}
     return Classifier(model, languages, limits)
 
 
+def _by_model(values: dict[str, float], other: float) -> Column:
+    return F.coalesce(*[F.when(F.col("_model") == k, F.lit(float(v))) for k, v in sorted(values.items())], F.lit(float(other)))
+
+
 def classify(docs: DataFrame, classifier: Classifier | None, text: str = "text", lang: str = "lang") -> DataFrame:
-    """All columns of ``docs`` plus _model, _perplexity, _low, _high and _kept.
+    """All columns of ``docs`` plus _model, _perplexity, _score (shrunk by length), _low, _high and _kept.
 
     Null and empty texts have no perplexity and are not kept. Without a classifier, every text is kept. A null language,
     or one with few trusted texts, uses the pooled model. Repeated rows are judged each; an empty table gives an empty
     result. Names that start with an underscore are the operator's own.
     """
-    base = docs.drop("_model", "_perplexity", "_low", "_high", "_kept")
+    base = docs.drop("_model", "_perplexity", "_score", "_low", "_high", "_kept")
     some = F.coalesce(F.col(text), F.lit("")) != ""
     if classifier is None:
         none = F.lit(None).cast("double")
-        return base.withColumns({"_model": F.lit(None).cast("string"), "_perplexity": none, "_low": none, "_high": none, "_kept": some})
+        return base.withColumns({"_model": F.lit(None).cast("string"), "_perplexity": none, "_score": none, "_low": none, "_high": none, "_kept": some})
     rows = scored(base, classifier.model, classifier.languages, text, lang)
-    everywhere = classifier.limits.get(POOLED, (0.0, float("inf")))
-    pick = lambda i: F.coalesce(*[F.when(F.col("_model") == k, F.lit(v[i])) for k, v in sorted(classifier.limits.items())], F.lit(everywhere[i]))
-    rows = rows.withColumns({"_low": pick(0), "_high": pick(1)})
-    return rows.withColumn("_kept", some & F.coalesce(F.col("_perplexity").between(F.col("_low"), F.col("_high")), F.lit(False)))
+    pick = lambda i: _by_model({k: v[i] for k, v in classifier.limits.items()}, classifier.limits[POOLED][i])
+    score = F.exp(shrunk(F.log("_perplexity"), F.length(text), pick(0)))
+    rows = rows.withColumns({"_score": score, "_low": F.exp(pick(1)), "_high": F.exp(pick(2))})
+    return rows.withColumn("_kept", some & F.coalesce(F.col("_score").between(F.col("_low"), F.col("_high")), F.lit(False)))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -328,7 +354,7 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
     judged = classify(docs, fit(docs, table(spark, sf_dir, "labels")))
-    return judged.select("doc_id", "lang", F.col("_model").alias("model"), F.col("_perplexity").alias("perplexity"), F.col("_low").alias("low"), F.col("_high").alias("high"), F.col("_kept").alias("kept"))
+    return judged.select("doc_id", "lang", F.col("_model").alias("model"), F.col("_perplexity").alias("perplexity"), F.col("_score").alias("score"), F.col("_low").alias("low"), F.col("_high").alias("high"), F.col("_kept").alias("kept"))
 
 
 by_value(sys.modules[__name__])
