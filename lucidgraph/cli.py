@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from lucidgraph.functions.terms import entity_url, relation_url
 from lucidgraph.iterations import Plan, run
 from lucidgraph.operators import clustering, deduction, embedding, mining
+from lucidgraph.operators.graph import usual_categorical, usual_constants
 from lucidgraph.sources.labels import read_labels
 from lucidgraph.sources.output import write_metrics, write_rules
 from lucidgraph.sources.triples import read_triples
@@ -29,8 +30,8 @@ def parser() -> argparse.ArgumentParser:
         c.add_argument("--max-length", type=int, default=2)
         c.add_argument("--min-coverage", type=float, default=0.4)
         c.add_argument("--objective", default="x_coverage")
-        c.add_argument("--constants", nargs="*", default=[], help="relations whose objects are bound")
-        c.add_argument("--categorical", nargs="*", default=[], help="relations that need a bound object")
+        c.add_argument("--constants", nargs="*", default=usual_constants(), help="relations whose objects are bound")
+        c.add_argument("--categorical", nargs="*", default=usual_categorical(), help="relations that need a bound object")
     # the last one, cluster, has more
     c.add_argument("--model", default="transe", choices=embedding.MODELS)
     c.add_argument("--size", type=int, default=100)

@@ -20,17 +20,32 @@ CONSTANT_RELATIONS = (
 # Relations that say nothing unless their object is a constant, by local name.
 CATEGORICAL_RELATIONS = (
     "rdf:type", "hasGender", "isCitizenOf", "genre", "type", "charge", "element", "atype", "ind1", "inda", "hasfeature", "linkprop", "alb", "tbil",
-    "dbil", "gpt", "tcho", "tp", "got", "ztt", "ttt", "che", "type", "sex",
+    "dbil", "gpt", "tcho", "tp", "got", "ztt", "ttt", "che", "sex",
 )
+# Relations of the university benchmark whose objects are worth binding.
+UNIVERSITY = "http://semantics.crl.ibm.com/univ-bench-dl.owl#"
+UNIVERSITY_RELATIONS = (
+    "like", "hasMajor", "isCrazyAbout", "love", "hasUndergraduateDegreeFrom", "enrollIn", "isStudentOf", "hasMasterDegreeFrom", "hasDoctoralDegreeFrom", "worksFor",
+)
+# The prefix of data without one of its own, and the type relation's URL.
+DATA_PREFIX = "http://exp-data.org/"
 RDF_TYPE = "http://www.w3.org/1999/02/22-rdf-syntax-ns#type"
 CONSTANT_RATIO, CATEGORICAL_RATIO = 10, 50
 
 
-def with_prefix(names: Iterable[str], prefix: str) -> list[str]:
+def with_prefix(names: Iterable[str], prefix: str = DATA_PREFIX) -> list[str]:
     """Local names, the same below a prefix, and the type relation's URL."""
     return list(dict.fromkeys([*names, *[prefix + n for n in names], RDF_TYPE]))
 
 
+def usual_constants() -> list[str]:
+    return with_prefix(CONSTANT_RELATIONS) + [UNIVERSITY + n for n in UNIVERSITY_RELATIONS]
+
+
+def usual_categorical() -> list[str]:
+    return with_prefix(CATEGORICAL_RELATIONS)
+
+
 def predicate_stats(kg: DataFrame, approximate: bool = False) -> DataFrame:
     """(p, subjects, objects): distinct counts by predicate; ``approximate``: HyperLogLog sketches, one pass."""
     count = F.approx_count_distinct if approximate else F.count_distinct

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lucidgraph.functions.measures import with_measures
-from lucidgraph.operators.graph import predicate_classes, predicate_stats
+from lucidgraph.operators.graph import predicate_classes, predicate_stats, usual_categorical, usual_constants
 from lucidgraph.plans.patterns import match
 from lucidgraph.plans.rules import ANCHOR, Atom, Rule, is_var
 from lucidgraph.sources.storage import stored
@@ -34,8 +34,8 @@ class Settings:
     top: int = 10
     objective: str = "x_coverage"
     with_constants: bool = True
-    constant_relations: Sequence[str] = ()
-    categorical_relations: Sequence[str] = ()
+    constant_relations: Sequence[str] = field(default_factory=usual_constants)
+    categorical_relations: Sequence[str] = field(default_factory=usual_categorical)
     excluded_relations: Sequence[str] = ()
     use_stats: bool = True
     first_generation: bool = False
