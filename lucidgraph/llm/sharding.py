@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from lucidgraph.llm.shared import table
 
 #: Rows that one numbering task should get.
-ROWS_PER_BUCKET = 250_000
+ROWS_PER_BUCKET = 20_000
 
 
 def rendezvous(key: Column, weights: Sequence[float], seed: int = 0) -> Column:
