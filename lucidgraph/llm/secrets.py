@@ -162,3 +162,45 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(_listed(F.col("base")), 256).alias("base_sha256"),
         _listed(F.col("secrets")).alias("spans"),
     )
+
+
+def _sql(rate: float = 0.01) -> str:
+    """The same spans in DuckDB SQL, with rows for spans and tokens."""
+    patterns = [(k, p, g, n) for k, p, g, n in BASE] + [("random", TOKEN, 1, 20)]
+    found = " UNION ALL ".join(
+        "SELECT rid, t, {i} AS kind, {n} AS least, regexp_extract_all(t, '{p}') AS m, regexp_extract_all(t, '{p}', {g}) AS g, string_split_regex(t, '{p}') AS s FROM d".format(i=i, n=n, g=g, p=p.replace("'", "''"))
+        for i, (_, p, g, n) in enumerate(patterns)
+    )
+    tail = lambda z: f"(2 / (1 + exp(least(700, 1.5976::DOUBLE * abs({z}) + 0.070565::DOUBLE * abs({z}) ** 3))))"
+    alphabets = "CASE e " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in ALPHABETS.items()) + " END"
+    chance = "CASE e " + " ".join(f"WHEN '{k}' THEN {v}::DOUBLE" for k, v in COLLISION.items()) + " END"
+    names = "['" + "', '".join(KINDS) + "'][kind + 1]"
+    listed = f"string_agg({names} || ':' || start || ':' || stop, ',' ORDER BY start, kind)"
+    return rf"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
+f AS ({found}),
+i AS (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM f),
+w AS (SELECT rid, t, kind, CAST(list_sum(list_transform(s[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) AS BIGINT) AS start, length(m[i]) AS n FROM i WHERE length(g[i]) >= least),
+span AS (SELECT *, start + n AS stop FROM w),
+base AS (SELECT * FROM span WHERE kind < 3),
+tok AS (SELECT rid, start, stop, substr(t, start + 1, n) AS x, n::DOUBLE AS n FROM span WHERE kind = 3 AND NOT EXISTS (SELECT 1 FROM base b WHERE b.rid = span.rid AND b.start < span.stop AND span.start < b.stop)),
+enc AS (SELECT *, CASE WHEN regexp_full_match(x, '[0-9a-f]+|[0-9A-F]+') THEN 'hex' WHEN regexp_full_match(x, '[A-Z2-7]+') THEN 'base32' WHEN regexp_matches(x, '[-_]') THEN 'base64url' ELSE 'base64' END AS e FROM tok),
+v AS (SELECT *, length({alphabets})::DOUBLE AS k, {chance} AS c, list_transform(range(1, CAST(n AS BIGINT) + 1), lambda j: strpos({alphabets}, substr(CASE WHEN e = 'hex' THEN lower(x) ELSE x END, j, 1)) - 1) AS v FROM enc),
+q AS (SELECT *, list_sum(list_transform(list_distinct(v), lambda a: len(list_filter(v, lambda b: b = a)) ** 2))::DOUBLE AS q, len(list_filter(v, lambda a: 2 * a < k))::DOUBLE AS lo, list_sum(v)::DOUBLE / n AS mean FROM v),
+r AS (SELECT *, 2 * lo * (n - lo) / n + 1 AS rx, 1 + len(list_filter(range(2, len(v) + 1), lambda j: (2 * v[j] < k) <> (2 * v[j - 1] < k))) AS runs,
+  list_sum(list_transform(v, lambda a: (a - mean) ** 2)) AS ss, list_sum(list_transform(range(2, len(v) + 1), lambda j: (v[j] - mean) * (v[j - 1] - mean))) AS sc, n * (n - 1) / 2 AS pairs FROM q),
+z AS (SELECT *, ((k * q / n - n) - (k - 1)) / sqrt(2 * (k - 1) * (n - 1) / n) AS z1, CASE WHEN (rx - 1) * (rx - 2) / (n - 1) <= 0 THEN 10 ELSE (runs - rx) / sqrt((rx - 1) * (rx - 2) / (n - 1)) END AS z2,
+  CASE WHEN ss <= 0 THEN 10 ELSE sqrt(n) * sc / ss + 1 / sqrt(n) END AS z3, ((q - n) / 2 - pairs * c) / sqrt(pairs * c * (1 - c)) AS z0 FROM r),
+p AS (SELECT *, least(1, 3 * least({tail('z1')}, {tail('z2')}, {tail('z3')})) AS pr, CASE WHEN z0 < 0 THEN {tail('z0')} / 2 ELSE 1 - {tail('z0')} / 2 END AS pt, CASE WHEN n < {BANDS[0]} THEN 0 WHEN n < {BANDS[1]} THEN 1 ELSE 2 END AS band FROM z),
+b AS (SELECT *, CASE WHEN pr < 0.01::DOUBLE THEN 0 ELSE CAST(least({MOST_BINS}, floor(-{BINS_PER_DECADE} * log10(greatest(pt, 1e-300::DOUBLE)))) AS INTEGER) END AS bin FROM p),
+h AS (SELECT *, count(*) OVER (PARTITION BY e, band) AS total, count(*) OVER (PARTITION BY e, band ORDER BY bin DESC RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS above FROM b),
+cut AS (SELECT e, band, min(bin) AS least FROM h WHERE bin > 0 AND 10 ** (-bin / {BINS_PER_DECADE}.0::DOUBLE) <= {rate}::DOUBLE * above / total GROUP BY e, band),
+every AS (SELECT rid, kind, start, stop FROM base UNION ALL SELECT rid, 3, start, stop FROM b JOIN cut USING (e, band) WHERE bin >= cut.least),
+g AS (SELECT rid, count(*) FILTER (WHERE kind = 0) AS a, count(*) FILTER (WHERE kind = 1) AS k, count(*) FILTER (WHERE kind = 2) AS x, {listed} AS spans FROM every GROUP BY rid),
+o AS (SELECT rid, {listed} AS spans FROM base GROUP BY rid)
+SELECT doc_id, coalesce(a, 0) AS n_assign, coalesce(k, 0) AS n_access, coalesce(x, 0) AS n_hex, sha256(coalesce(o.spans, '')) AS base_sha256, coalesce(g.spans, '') AS spans
+FROM d LEFT JOIN g USING (rid) LEFT JOIN o USING (rid)
+"""
+
+
+OP2_SQL = _sql()

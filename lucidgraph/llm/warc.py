@@ -275,4 +275,16 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_captures(pages, parts, f"{folder}/index", f"{folder}/archives").drop("key", "url")
 
 
+OP1_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+h AS (SELECT page_id, strlen(html) AS payload_bytes, sha1(html) AS hex, min(page_id) OVER (PARTITION BY html) AS first FROM p),
+b AS (SELECT *, array_to_string(list_transform(range(1, 41), lambda i: substr('0000000100100011010001010110011110001001101010111100110111101111', strpos('0123456789abcdef', substr(hex, i, 1)) * 4 - 3, 4)), '') AS bits FROM h)
+SELECT page_id, payload_bytes,
+       array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(1 + list_sum(list_transform(range(1, 6), lambda k: CAST(substr(bits, i * 5 + k, 1) AS INTEGER) * (1 << (5 - k)))) AS INTEGER), 1)), '') AS payload_digest,
+       CASE WHEN first IS NULL OR page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id = first THEN NULL ELSE first END AS refers_to
+FROM b
+"""
+
+
 by_value(sys.modules[__name__])
