@@ -260,7 +260,34 @@ def decontaminate(docs: DataFrame, items: DataFrame, text: str = "text") -> Data
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    found = find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", *[F.round(c, 6).alias(c) for c in ("score", "question_overlap", "answer_overlap", "overlap")])
+
+
+
+OP8_SQL = rf"""
+WITH words(kind, id, rid, w, parts) AS (
+  SELECT 'item', item_id, row_number() OVER () AS rid, NULL, list_filter(list_transform(regexp_split_to_array(regexp_replace(text, '([.?!])\s+', '\1' || chr(10), 'g'), '\n+'), lambda s: regexp_extract_all(lower(s), '[\p{{L}}\p{{N}}]+')), lambda p: len(p) > 0) FROM benchmark WHERE text IS NOT NULL
+  UNION ALL SELECT 'doc', doc_id, row_number() OVER (), regexp_extract_all(lower(coalesce(text, '')), '[\p{{L}}\p{{N}}]+'), NULL FROM documents),
+i AS (SELECT id AS item_id, rid AS item, flatten(parts) AS w, CASE WHEN len(parts) > 1 THEN len(flatten(parts)) - len(parts[-1]) ELSE len(parts[1]) - greatest(1, len(parts[1]) // 4) END AS cut FROM words WHERE kind = 'item' AND len(parts) > 0),
+n AS (SELECT count(*) AS items, avg(len(w)) AS mean, max(len(w)) AS longest FROM i),
+tf AS (SELECT item, len(w) AS size, t, count(*) AS tf FROM (SELECT item, w, unnest(w) AS t FROM i) GROUP BY ALL),
+df AS (SELECT t, count(*) AS df FROM tf GROUP BY t),
+own AS (SELECT item, t, ln(1 + (items - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * ({K1}::DOUBLE + 1) / (tf + {K1}::DOUBLE * (1 - {B}::DOUBLE + {B}::DOUBLE * size / mean)) AS x FROM tf JOIN df USING (t) CROSS JOIN n),
+impact AS (SELECT item, t, x / sum(x) OVER (PARTITION BY item) AS x FROM own),
+d AS (SELECT id AS doc_id, rid, w FROM words WHERE kind = 'doc' AND len(w) > 0),
+p AS (SELECT doc_id, rid, c, w[c * longest + 1:(c + 2) * longest] AS w FROM (SELECT doc_id, rid, w, longest, unnest(range(0, (len(w) + longest - 1) // longest)) AS c FROM d CROSS JOIN n)),
+t AS (SELECT DISTINCT rid, c, unnest(w) AS t FROM p),
+hit AS (SELECT rid, c, item, sum(x) AS score FROM t JOIN impact USING (t) GROUP BY ALL HAVING sum(x) >= {SCORE}::DOUBLE - 1e-9::DOUBLE),
+sh AS (SELECT h.*, p.doc_id, p.w AS pw, i.item_id, i.w AS iw, i.w[1:cut] AS q, i.w[cut + 1:] AS a FROM hit h JOIN p USING (rid, c) JOIN i USING (item)),
+s AS (SELECT *, list_distinct(list_transform(range(1, greatest(1, len(pw) - 4) + 1), lambda k: array_to_string(pw[k:k + 4], ' '))) AS ps,
+  list_distinct(list_transform(range(1, greatest(1, len(iw) - 4) + 1), lambda k: array_to_string(iw[k:k + 4], ' '))) AS ws,
+  CASE WHEN len(q) = 0 THEN [] ELSE list_distinct(list_transform(range(1, greatest(1, len(q) - 4) + 1), lambda k: array_to_string(q[k:k + 4], ' '))) END AS qs FROM sh),
+o AS (SELECT rid, doc_id, item, item_id, score, CASE WHEN len(qs) = 0 THEN 1 ELSE len(list_intersect(qs, ps)) / len(qs)::DOUBLE END AS question_overlap,
+  list_sum(list_transform(list_distinct(a), lambda x: least(len(list_filter(a, lambda y: y = x)), len(list_filter(pw, lambda y: y = x))))) / greatest(1, len(a))::DOUBLE AS answer_overlap, len(list_intersect(ws, ps)) / len(ws)::DOUBLE AS overlap FROM s),
+k AS (SELECT *, row_number() OVER (PARTITION BY rid, item ORDER BY overlap DESC, score DESC) AS r FROM o WHERE overlap >= {SIMILAR}::DOUBLE OR (question_overlap >= {SIMILAR}::DOUBLE AND answer_overlap >= {SIMILAR}::DOUBLE))
+SELECT doc_id, item_id, round(score, 6) AS score, round(question_overlap, 6) AS question_overlap, round(answer_overlap, 6) AS answer_overlap, round(overlap, 6) AS overlap FROM k WHERE r = 1
+"""
 
 
 by_value(sys.modules[__name__])

@@ -18,6 +18,7 @@ QUERIES = {
 }
 
 SQL = {
+    "op8_decontamination": decontamination.OP8_SQL,
     "op2_secrets": secrets.OP2_SQL,
     "op1_warc": warc.OP1_SQL,
     "op10_substrings": substrings.OP10_SQL,
