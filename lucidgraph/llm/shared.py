@@ -24,7 +24,14 @@ def shared_dir(spark: SparkSession, what: str) -> str:
         base = "file://" + tempfile.mkdtemp(prefix="checkpoint-")
         spark.conf.set("spark.checkpoint.dir", base)
         spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/{what}-{uuid.uuid4().hex}"
+    return f"{qualified(spark, base)}/{what}-{uuid.uuid4().hex}"
+
+
+def qualified(spark: SparkSession, folder: str) -> str:
+    """The folder with its scheme, as tasks that don't go through Spark's readers need it."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    full = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString().rstrip("/")
+    return f"file://{full[5:]}" if full.startswith("file:/") and not full.startswith("file://") else full
 
 
 def written(df: DataFrame, what: str) -> DataFrame:
