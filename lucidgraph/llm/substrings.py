@@ -194,6 +194,8 @@ def _emitter(anchors: tuple[str, int], leaders: tuple[str, int], salts: int):
                 if not len(anchor):
                     continue
                 hit = np.flatnonzero(_is_set(some, anchor, anchors[1]) & _is_set(leads, _leader(run, doc), leaders[1]))
+                # a run that comes again in its document is sent once
+                hit = np.sort(hit[np.unique(run[hit], return_index=True)[1]])
                 if not len(hit):
                     continue
                 heavy = _is_set(many, anchor[hit], anchors[1])
@@ -372,7 +374,7 @@ def find_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
         # runs with very many occurrences are few: these are dealt to several tasks, and what is known of them to each
         salted = lambda df: df.join(F.broadcast(hot), both, "left")
         every = F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1)).alias("salt")
-        taken = salted(taken).withColumn("salt", F.pmod(F.xxhash64("doc"), F.coalesce("salts", F.lit(1))).cast("int")).drop("salts")
+        taken = salted(taken).withColumn("salt", F.pmod(F.xxhash64("doc", "first"), F.coalesce("salts", F.lit(1))).cast("int")).drop("salts")
         again, trees = salted(again).select("anchor", "run", "low", every), salted(trees).select("anchor", "run", "parts", every)
         both = [*both, "salt"]
     seen = taken.join(again, both, "left").join(trees, both, "left")
