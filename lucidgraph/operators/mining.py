@@ -219,7 +219,13 @@ class Miner:
         frames = []
         variables = [c for c in found.columns if c.startswith("v_")]
         for (subject, obj), own in sorted(ways.items()):
-            rows = found.join(F.broadcast(atoms.filter(F.col("rule_id").isin(own))), "rule_id")
+            fresh = "_s" if subject == new else "_o" if obj == new else None
+            # a fresh node differs from all variables' nodes: only a constant, or a closing atom, can repeat an atom
+            can_repeat = not s.first_generation and any(parents[r].body and (fresh is None or any(not is_var(t) for a in parents[r].body for t in a.args())) for r in own)
+            if can_repeat or s.first_generation:
+                rows = found.join(F.broadcast(atoms.filter(F.col("rule_id").isin(own))), "rule_id")
+            else:
+                rows = found if len(own) == len(parents) else found.filter(F.col("rule_id").isin(own))
             on = []
             if subject != new:
                 on.append(F.col(f"v_{subject[1:]}") == F.col("_s"))
@@ -227,14 +233,14 @@ class Miner:
                 on.append(F.col(f"v_{obj[1:]}") == F.col("_o"))
             rows = rows.join(edge, reduce(lambda a, b: a & b, on))
             if not s.first_generation:
-                fresh = "_s" if subject == new else "_o" if obj == new else None
                 if fresh:
                     for v in variables:
                         rows = rows.filter(F.col(v).isNull() | (F.col(v) != F.col(fresh)))
-                # the new atom differs from those before: same predicate, and ends that are the same node
-                named = {f"?{v[2:]}": F.col(v) for v in variables}
-                value = lambda t: F.coalesce(*[F.when(t == F.lit(k), c) for k, c in named.items()], t)  # noqa: E731, B023
-                rows = rows.filter(~F.exists("atoms", lambda a: (a[1] == F.col("p")) & (value(a[0]) == F.col("_s")) & (value(a[2]) == F.col("_o"))))  # noqa: B023
+                if can_repeat:
+                    # same predicate, and ends that are the same node
+                    named = {f"?{v[2:]}": F.col(v) for v in variables}
+                    value = lambda t: F.coalesce(*[F.when(t == F.lit(k), c) for k, c in named.items()], t)  # noqa: E731, B023
+                    rows = rows.filter(~F.exists("atoms", lambda a: (a[1] == F.col("p")) & (value(a[0]) == F.col("_s")) & (value(a[2]) == F.col("_o"))))  # noqa: B023
             else:
                 # not back over the predicate that the path came by
                 last = F.element_at("atoms", -1)
@@ -242,7 +248,8 @@ class Miner:
                 turned = (out & (F.lit(subject) == new)) | (~out & (F.lit(obj) == new))
                 rows = rows.filter(F.coalesce(~((F.size("atoms") > 0) & turned & (last[1] == F.col("p"))), F.lit(True)))
             frames.append(rows.select("rule_id", F.lit(subject).alias("s"), F.lit(obj).alias("o"), "p", "_s", "_o", *variables))
-        return reduce(DataFrame.unionByName, frames).distinct() if frames else None
+        # matches and triples are without repeats, and so are their joins
+        return reduce(DataFrame.unionByName, frames) if frames else None
 
 
 def path_end(rule: Rule) -> str:
