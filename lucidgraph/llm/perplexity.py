@@ -293,7 +293,7 @@ def shrunk(x: Column, symbols_: Column, middle: Column) -> Column:
     return (n * x + F.lit(float(PRIOR)) * middle) / (n + F.lit(float(PRIOR)))
 
 
-def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", quantile: float = 0.95, slack: float = 8.0) -> Classifier | None:
+def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", quantile: float = 0.95, slack: float = 3.0) -> Classifier | None:
     """Trains on the trusted rows of ``docs`` and sets each language's limits; None if no row is trusted.
 
     Limits come from held-out trusted texts by language, from their mean logarithms, shrunk by length: the median plus

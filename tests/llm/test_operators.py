@@ -474,3 +474,17 @@ def test_classifier(spark):
     assert perplexity.keep_good(docs, labels.limit(0)).count() == len(rows) - 2 and perplexity.keep_good(docs.limit(0), labels).count() == 0
     trusted = {r["doc_id"] for r in perplexity.trusted_ids(labels).collect()}
     assert 7 not in trusted and 9 not in trusted and 0 in trusted
+
+
+def test_classifier_rejects_partial_junk(spark):
+    """Two words of junk in eighty lie between 3 and 8 times the quantile's distance."""
+    rng = random.Random(21)
+    syllables = ["the", "on", "er", "ou", "an", "ti"]
+    word = lambda: "".join(rng.choice(syllables) for _ in range(rng.randrange(1, 4)))
+    junk = lambda: "".join(rng.choice("ABCDEFGH#*|!") for _ in range(6))
+    rows = [(i, "en", " ".join(word() for _ in range(80))) for i in range(300)]
+    rows += [(i, "en", " ".join([*(word() for _ in range(78)), junk(), junk()])) for i in range(400, 408)]
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(300)], "doc_id long, quality int, toxic int")
+    frame = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    kept = {r["doc_id"] for r in perplexity.keep_good(frame, labels).collect()}
+    assert len(kept & set(range(300))) >= 299 and not kept & set(range(400, 408))
