@@ -5,10 +5,13 @@ n-gram), and the adjusted counts, discounts, contexts and lower orders come from
 on n-gram keys. The finished model is cut in shards by n-gram. To score, a task turns its texts into distinct n-grams,
 joins them with one shard after the other, and adds up the logarithms: neither texts nor n-grams are shuffled, and no
 task needs more than one shard and one batch in memory.
+
+A text is judged by its mean and by its worst few symbols in a row: a foreign word in long clean prose leaves the mean.
 """
 
 from __future__ import annotations
 
+import math
 import sys
 from collections import defaultdict
 from collections.abc import Iterator
@@ -37,6 +40,8 @@ SHARD_ROWS = 2_000_000
 MOST_LANGUAGES = 10_000
 #: Symbols of a language's middle that are put beside each text's own.
 PRIOR = 200
+#: Symbols in a row of which the worst are judged.
+WORST = 6
 #: Distinct n-grams that a counting task holds before it hands them on, and symbols that are scored together.
 MOST_COUNTED, MOST_SYMBOLS = 500_000, 500_000
 
@@ -230,19 +235,32 @@ class Model:
             out = np.where(np.isnan(p[k]), bow[k - 1] * out, p[k])
         return out
 
-    def perplexities(self, lang: str, texts: list[str | None]) -> np.ndarray:
-        """Of each text, by symbol; NaN where there is none."""
-        out = np.full(len(texts), np.nan)
+    def scores(self, lang: str, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """Of each text, the perplexity by symbol, and the mean of -log p over its worst ``WORST`` symbols in a row (all
+        of a shorter text); NaN where there is no symbol."""
+        out, worst = np.full(len(texts), np.nan), np.full(len(texts), np.nan)
         for own in _chunks(texts):
             grams, lengths = windows([symbols(texts[i]) for i in own])
             if not len(grams):
                 continue
             places, distinct = pd.factorize(grams)
-            logs = np.log(self.probabilities(lang, distinct))[places]
+            logs = -np.log(self.probabilities(lang, distinct))[places]
             some = np.flatnonzero(lengths)
-            sums = np.add.reduceat(logs, (np.cumsum(lengths) - lengths)[some])
-            out[np.array(own)[some]] = np.exp(-sums / lengths[some])
-        return out
+            at, sizes = (np.cumsum(lengths) - lengths)[some], lengths[some]
+            means = np.add.reduceat(logs, at) / sizes
+            rows = np.array(own)[some]
+            out[rows] = np.exp(means)
+            # the sum of each window by its last symbol, where it is whole in one text
+            sums = logs.copy()
+            for j in range(1, min(WORST, len(logs))):
+                sums[j:] += logs[:-j]
+            sums[np.arange(len(logs)) - np.repeat(at, sizes) < WORST - 1] = -np.inf
+            worst[rows] = np.where(sizes < WORST, means, np.maximum.reduceat(sums, at) / WORST)
+        return out, worst
+
+    def perplexities(self, lang: str, texts: list[str | None]) -> np.ndarray:
+        """Of each text, by symbol; NaN where there is none."""
+        return self.scores(lang, texts)[0]
 
 
 def save(model: DataFrame) -> Model:
@@ -262,27 +280,27 @@ def _scorer(model: Model, languages: frozenset[str], lang: int, text: int):
         for batch in batches:
             texts = batch.column(text).to_pylist()
             names = [x if x in languages else POOLED for x in batch.column(lang).to_pylist()]
-            value = np.full(len(texts), np.nan)
+            value, worst = np.full(len(texts), np.nan), np.full(len(texts), np.nan)
             for name in set(names):
                 at = [i for i, x in enumerate(names) if x == name]
-                value[at] = own.perplexities(name, [texts[i] for i in at])
-            extra = [pa.array(names, pa.string()), pa.array(value, pa.float64(), from_pandas=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *extra], names=[*batch.schema.names, "_model", "_perplexity"])
+                value[at], worst[at] = own.scores(name, [texts[i] for i in at])
+            extra = [pa.array(names, pa.string()), *(pa.array(x, pa.float64(), from_pandas=True) for x in (value, worst))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *extra], names=[*batch.schema.names, "_model", "_perplexity", "_worst"])
 
     return score
 
 
 def scored(docs: DataFrame, model: Model, languages: frozenset[str], text: str, lang: str) -> DataFrame:
-    """All columns of ``docs``, the model that was used and the perplexity."""
+    """All columns of ``docs``, the model that was used, the perplexity and the worst window."""
     text_batches(docs.sparkSession)
-    schema = T.StructType([*docs.schema, T.StructField("_model", T.StringType()), T.StructField("_perplexity", T.DoubleType())])
+    schema = T.StructType([*docs.schema, T.StructField("_model", T.StringType()), T.StructField("_perplexity", T.DoubleType()), T.StructField("_worst", T.DoubleType())])
     return docs.mapInArrow(_scorer(model, languages, docs.columns.index(lang), docs.columns.index(text)), schema)
 
 
 class Classifier:
-    """Model, the languages that have one of their own, and (middle, low, high) by language, as logarithms."""
+    """Model, the languages that have one of their own, and (middle, low, high, slope, worst) by language, as logarithms."""
 
-    def __init__(self, model: Model, languages: frozenset[str], limits: dict[str, tuple[float, float, float]]):
+    def __init__(self, model: Model, languages: frozenset[str], limits: dict[str, tuple[float, float, float, float, float]]):
         self.model, self.languages, self.limits = model, languages, limits
 
 
@@ -293,11 +311,12 @@ def shrunk(x: Column, symbols_: Column, middle: Column) -> Column:
     return (n * x + F.lit(float(PRIOR)) * middle) / (n + F.lit(float(PRIOR)))
 
 
-def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", quantile: float = 0.95, slack: float = 3.0) -> Classifier | None:
+def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", quantile: float = 0.95, slack: float = 3.0, worst_slack: float = 1.5) -> Classifier | None:
     """Trains on the trusted rows of ``docs`` and sets each language's limits; None if no row is trusted.
 
     Limits come from held-out trusted texts by language, from their mean logarithms, shrunk by length: the median plus
-    ``slack`` times its distance to the ``quantile``, and as much below. All trusted rows count, whatever their number.
+    ``slack`` times its distance to the ``quantile``, and as much below. The worst window has an upper limit of the same
+    kind, by ``worst_slack`` and more where few texts were held out, after its growth with the logarithm of the length is taken off. All trusted rows count, whatever their number.
     """
     texts = trusted_texts(docs, labels, key, text, lang)
     sizes = {r["lang"]: r["n"] for r in texts.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -310,16 +329,22 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     if POOLED not in model.languages():
         return None
     checked = scored(texts.filter("held").select("lang", "text"), model, languages, "text", "lang")
-    checked = written(checked.select("_model", F.length("text").alias("n"), F.log("_perplexity").alias("x")).filter("x IS NOT NULL"), "held-out-perplexities")
+    checked = written(checked.select("_model", F.length("text").alias("n"), F.log("_perplexity").alias("x"), "_worst").filter("x IS NOT NULL"), "held-out-perplexities")
     # the pooled limits are of all, by whatever model
-    middles = {r["_model"]: r["m"] for r in checked.groupBy("_model").agg(F.percentile("x", 0.5).alias("m")).collect()}
-    middles[POOLED] = checked.agg(F.percentile("x", 0.5)).first()[0]
+    fits = [F.percentile("x", 0.5).alias("m"), F.regr_slope(F.col("_worst"), F.log("n")).alias("slope")]
+    fitted = checked.groupBy("_model").agg(*fits).collect() + checked.agg(F.lit(POOLED).alias("_model"), *fits).collect()
+    middles = {r["_model"]: r["m"] for r in fitted}
     if middles[POOLED] is None:
         return None
+    # texts of one length have no slope
+    slopes = {r["_model"]: r["slope"] if (r["slope"] or 0.0) > 0 else 0.0 for r in fitted}
     drawn = checked.withColumn("x", shrunk(F.col("x"), F.col("n"), _by_model(middles, middles[POOLED])))
+    drawn = drawn.withColumn("_worst", F.col("_worst") - _by_model(slopes, slopes[POOLED]) * F.log("n"))
     marks = [F.percentile("x", q).alias(n) for n, q in (("low", 1 - quantile), ("mid", 0.5), ("high", quantile))]
+    marks += [F.percentile("_worst", q).alias(n) for n, q in (("worst_mid", 0.5), ("worst_high", quantile))] + [F.count(F.lit(1)).alias("texts")]
     rows = drawn.groupBy("_model").agg(*marks).collect() + drawn.agg(F.lit(POOLED).alias("_model"), *marks).collect()
-    limits = {r["_model"]: (middles[r["_model"]], r["mid"] - slack * (r["mid"] - r["low"]), r["mid"] + slack * (r["high"] - r["mid"])) for r in rows}
+    beyond = lambda mid, to, by=slack: mid + by * (to - mid)
+    limits = {r["_model"]: (middles[r["_model"]], beyond(r["mid"], r["low"]), beyond(r["mid"], r["high"]), slopes[r["_model"]], beyond(r["worst_mid"], r["worst_high"], worst_slack * (1 + 3 / math.sqrt(r["texts"])))) for r in rows}
     return Classifier(model, languages, limits)
 
 
@@ -328,22 +353,23 @@ def _by_model(values: dict[str, float], other: float) -> Column:
 
 
 def classify(docs: DataFrame, classifier: Classifier | None, text: str = "text", lang: str = "lang") -> DataFrame:
-    """All columns of ``docs`` plus _model, _perplexity, _score (shrunk by length), _low, _high and _kept.
+    """All columns of ``docs`` plus _model, _perplexity, _score (shrunk by length), _low, _high, _worst, _worst_high and
+    _kept.
 
     Null and empty texts have no perplexity and are not kept. Without a classifier, every text is kept. A null language,
     or one with few trusted texts, uses the pooled model. Repeated rows are judged each; an empty table gives an empty
     result. Names that start with an underscore are the operator's own.
     """
-    base = docs.drop("_model", "_perplexity", "_score", "_low", "_high", "_kept")
+    base = docs.drop("_model", "_perplexity", "_score", "_low", "_high", "_worst", "_worst_high", "_kept")
     some = F.coalesce(F.col(text), F.lit("")) != ""
     if classifier is None:
         none = F.lit(None).cast("double")
-        return base.withColumns({"_model": F.lit(None).cast("string"), "_perplexity": none, "_score": none, "_low": none, "_high": none, "_kept": some})
+        return base.withColumns({"_model": F.lit(None).cast("string"), "_perplexity": none, "_score": none, "_low": none, "_high": none, "_worst": none, "_worst_high": none, "_kept": some})
     rows = scored(base, classifier.model, classifier.languages, text, lang)
     pick = lambda i: _by_model({k: v[i] for k, v in classifier.limits.items()}, classifier.limits[POOLED][i])
     score = F.exp(shrunk(F.log("_perplexity"), F.length(text), pick(0)))
-    rows = rows.withColumns({"_score": score, "_low": F.exp(pick(1)), "_high": F.exp(pick(2))})
-    return rows.withColumn("_kept", some & F.coalesce(F.col("_score").between(F.col("_low"), F.col("_high")), F.lit(False)))
+    rows = rows.withColumns({"_score": score, "_low": F.exp(pick(1)), "_high": F.exp(pick(2)), "_worst_high": pick(4) + pick(3) * F.log(F.length(text))})
+    return rows.withColumn("_kept", some & F.coalesce(F.col("_score").between(F.col("_low"), F.col("_high")) & (F.col("_worst") <= F.col("_worst_high")), F.lit(False)))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -488,3 +488,15 @@ def test_classifier_rejects_partial_junk(spark):
     frame = spark.createDataFrame(rows, "doc_id long, lang string, text string")
     kept = {r["doc_id"] for r in perplexity.keep_good(frame, labels).collect()}
     assert len(kept & set(range(300))) >= 299 and not kept & set(range(400, 408))
+
+
+def test_classifier_sees_single_words(spark):
+    rng = random.Random(22)
+    syllables = ["the", "on", "er", "ou", "an", "ti"]
+    good = lambda n: " ".join("".join(rng.choice(syllables) for _ in range(rng.randrange(1, 4))) for _ in range(n))
+    rows = [(i, "en", good(rng.choice([20, 80, 400]))) for i in range(400)] + [(i, "en", f"{good(150)} worthless {good(150)}") for i in range(500, 510)]
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(400)], "doc_id long, quality int, toxic int")
+    frame = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    judged = {r["doc_id"]: r for r in perplexity.classify(frame, perplexity.fit(frame, labels)).collect()}
+    assert sum(judged[i]["_kept"] for i in range(400)) >= 398
+    assert all(judged[i]["_low"] <= judged[i]["_score"] <= judged[i]["_high"] and not judged[i]["_kept"] for i in range(500, 510))
