@@ -2,6 +2,7 @@
 
 The test items are the documents of the index and each passage of a training text is a query. All items above a score
 are retrieved, not a top k, and each hit is verified by the overlap of its question and its answer with the passage.
+The score is each item's own: the least that a passage which passes verification can have.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from lucidgraph.llm.shared import by_value, table, text_batches
 #: Words of a shingle, and the similarity from which a passage counts as a copy.
 SHINGLE, SIMILAR = 5, 0.8
 K1, B = 1.2, 0.75
-#: The share of an item's own score from which it is retrieved; verification asks for more.
+#: The share of an item's own score from which ``OP8_SQL`` retrieves it; the operator's shares are ``least_score``.
 SCORE = 0.6
 #: Blocks of an index.
 BLOCKS = 64
@@ -53,8 +54,52 @@ def shingles(words: list[str]) -> set[tuple[str, ...]]:
     return {tuple(words[i : i + SHINGLE]) for i in range(max(1, len(words) - SHINGLE + 1))} if words else set()
 
 
+def _may_lack(n: int) -> int:
+    """Of n parts, how many a copy may lack."""
+    return n - math.ceil(n * SIMILAR - 1e-9)
+
+
+def _most_lost(words: list[str], weight: dict[str, float]) -> float:
+    """No less than the weight of the words that a passage can lack, with ``SIMILAR`` of the shingles of ``words``.
+
+    ``weight`` is of one occurrence. Lacking a place loses the shingles over it; places are chosen from left to right
+    by the shingles lost so far. Places of one word are chosen apart and a shingle that is repeated may be lost at each
+    of its places, so that the bound is never too low.
+    """
+    if not words:
+        return 0.0
+    size = min(SHINGLE, len(words))
+    last = len(words) - size
+    often = sorted(Counter(tuple(words[i : i + size]) for i in range(last + 1)).values(), reverse=True)
+    may = sum(often[: _may_lack(len(often))])
+    # ends[i]: the most weight by the number of shingles lost, where place i is the last that lacks
+    ends: list[np.ndarray] = []
+    before = np.full(may + 1, -np.inf)
+    before[0] = 0.0
+    best = 0.0
+    for i, w in enumerate(words):
+        own = np.full(may + 1, -np.inf)
+        if i >= size:
+            before = np.maximum(before, ends[i - size])
+        for source, after in [(before, i - size + 1), *((ends[j], j + 1) for j in range(max(0, i - size + 1), i))]:
+            lost = max(0, min(i, last) - max(0, i - size + 1, after) + 1)
+            if lost <= may:
+                own[lost:] = np.maximum(own[lost:], source[: may + 1 - lost] + weight[w])
+        ends.append(own)
+        best = max(best, float(own.max()))
+    return best
+
+
+def least_score(question: list[str], answer: list[str], impact: dict[str, float]) -> float:
+    """No more than the share of the item's own score that any passage has which passes verification."""
+    whole = question + answer
+    weight = {w: impact[w] / tf for w, tf in Counter(whole).items()}
+    by_parts = _most_lost(question, weight) + sum(sorted((weight[w] for w in answer), reverse=True)[: _may_lack(len(answer))])
+    return max(1e-6, 1.0 - max(_most_lost(whole, weight), by_parts) - 1e-6)
+
+
 class ItemIndex:
-    """Postings of the items in blocks, each impact as a share of the item's own score.
+    """Postings of the items in blocks, each impact as a share of the item's ``least_score``: from 1 it is retrieved.
 
     Items are put in the order of their commonest word and length, so that a block's items are alike and its largest
     impacts bound them well. ``block_most[t, b]`` is the largest impact of term t in block b.
@@ -74,8 +119,10 @@ class ItemIndex:
                 own[w] = idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(whole) / mean_words))
             total = sum(own.values())
             commonest = max(own, key=lambda w: (frequency[w], w))
-            parts = (shingles(question), shingles(answer), Counter(answer), shingles(whole))
-            rows.append((commonest, len(whole), item, parts, {w: x / total for w, x in own.items()}))
+            impact = {w: x / total for w, x in own.items()}
+            least = least_score(question, answer, impact)
+            parts = (shingles(question), Counter(answer), shingles(whole), least)
+            rows.append((commonest, len(whole), item, parts, {w: x / least for w, x in impact.items()}))
             self.longest = max(self.longest, len(whole))
         rows.sort(key=lambda r: r[:3])
         self.ids, self.parts = [r[2] for r in rows], [r[3] for r in rows]
@@ -154,9 +201,9 @@ class ItemIndex:
         second = np.add.reduceat(most, starts)
         bounds = first
         bounds[:-1] += second[1:]
-        for k in np.flatnonzero((bounds >= SCORE - 1e-4).any(1)).tolist():
+        for k in np.flatnonzero((bounds >= 1 - 1e-4).any(1)).tolist():
             start, stop = k * size, min(len(ids), (k + 2) * size)
-            yield start, stop, [t for t in set(ids[start:stop].tolist()) if t != none], np.flatnonzero(bounds[k] >= SCORE - 1e-4).tolist()
+            yield start, stop, [t for t in set(ids[start:stop].tolist()) if t != none], np.flatnonzero(bounds[k] >= 1 - 1e-4).tolist()
 
     def leaks(self, text: str | None) -> dict[int, tuple[float, float, float, float]]:
         """item -> (score, question overlap, answer overlap, overlap) in its best passage, where that is a copy."""
@@ -165,18 +212,18 @@ class ItemIndex:
             return {}
         best: dict[int, tuple[float, float, float, float]] = {}
         for start, stop, query, blocks in self.passages(words):
-            hits = self.search(query, SCORE, blocks)
+            hits = self.search(query, 1.0, blocks)
             if not hits:
                 continue
             own = shingles(words[start:stop])
             bag = Counter(words[start:stop])
             for item, score in hits:
-                q, a, answer, whole = self.parts[item]
+                q, answer, whole, least = self.parts[item]
                 question_share = len(q & own) / len(q) if q else 1.0
                 answer_share = sum((answer & bag).values()) / max(1, sum(answer.values()))
                 overlap = len(whole & own) / len(whole)
                 if overlap >= SIMILAR or (question_share >= SIMILAR and answer_share >= SIMILAR):
-                    best[item] = max(best.get(item, (0.0,) * 4), (score, question_share, answer_share, overlap), key=lambda x: (x[3], x[0]))
+                    best[item] = max(best.get(item, (0.0,) * 4), (score * least, question_share, answer_share, overlap), key=lambda x: (x[3], x[0]))
         return {self.ids[i]: v for i, v in best.items()}
 
 

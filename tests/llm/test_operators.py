@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import itertools
 import random
 import re
 import zlib
@@ -331,6 +332,54 @@ def test_block_max_search_is_exhaustive():
         assert all(abs(want[d] - least) < 1e-6 for d in got ^ {d for d, x in want.items() if x >= least})
 
 
+def copies(items, texts):
+    """(text, item) by brute force: whole shingle overlap in the text, shingles of as many words as a short item has."""
+    found = set()
+    for t, text in enumerate(texts):
+        here = decontamination.tokens(text)
+        for item, body in items:
+            own = decontamination.tokens(body)
+            n = min(decontamination.SHINGLE, len(own))
+            whole = decontamination.shingles(own)
+            if len(whole & {tuple(here[i : i + n]) for i in range(len(here) - n + 1)}) / len(whole) >= 0.8:
+                found.add((t, item))
+    return found
+
+
+def test_copies_without_the_heavy_words():
+    """Items of common words with a few of their own: what is left of a copy has a low score."""
+    rng = random.Random(4)
+    common = [f"c{i}" for i in range(50)]
+    items = [(i, " ".join([*common[:25], *(f"own{i}x{j}" for j in range(6)), *common[25:]])) for i in range(200)]
+    texts = []
+    for i in range(0, 200, 10):
+        own = items[i][1].split()
+        own[25 : 25 + 4] = [f"other{j}" for j in range(4)]
+        texts.append(prose(rng, 70) + " ".join(own) + " " + prose(rng, 70))
+    words = [decontamination.tokens(t) for _, t in items]
+    index = decontamination.ItemIndex(items, len(items), sum(map(len, words)) / len(words), Counter(w for t in words for w in set(t)))
+    want = copies(items, texts)
+    got = {(t, i): v for t, text in enumerate(texts) for i, v in index.leaks(text).items()}
+    assert {(t, 10 * t) for t in range(20)} <= want <= set(got)
+    assert max(v[0] for k, v in got.items() if k in want) < decontamination.SCORE
+
+
+def test_least_score_bounds_every_copy():
+    rng = random.Random(8)
+    for _ in range(300):
+        own = [f"w{rng.randrange(12)}" for _ in range(rng.randrange(1, 26))]
+        q, a = decontamination.question_and_answer(" ".join(own)) if rng.random() < 0.5 else (own[: len(own) // 2], own[len(own) // 2 :])
+        raw = {w: rng.random() ** 3 + 0.01 for w in own}
+        impact = {w: x / sum(raw.values()) for w, x in raw.items()}
+        least = decontamination.least_score(q, a, impact)
+        whole, asked, bag = decontamination.shingles(q + a), decontamination.shingles(q), Counter(a)
+        for lacks in (c for n in range(4) for c in itertools.combinations(sorted(impact), n)):
+            left = lambda x: sum(not set(g) & set(lacks) for g in x) / len(x) if x else 1.0
+            answered = sum(n for w, n in bag.items() if w not in lacks) / max(1, len(a))
+            if left(whole) >= 0.8 or (left(asked) >= 0.8 and answered >= 0.8):
+                assert sum(x for w, x in impact.items() if w not in lacks) >= least
+
+
 def simple_targets(sizes, weights=(5, 2, 1), budget=1.5, cap=2.0):
     order = sorted(sizes, key=lambda s: (s is None, s or ""))
     weight = {s: weights[i % len(weights)] for i, s in enumerate(order)}
