@@ -49,9 +49,9 @@ def question_and_answer(text: str | None) -> tuple[list[str], list[str]]:
     return parts[0][:cut], parts[0][cut:]
 
 
-def shingles(words: list[str]) -> set[tuple[str, ...]]:
+def shingles(words: list[str], size: int = SHINGLE) -> set[tuple[str, ...]]:
     """The word shingles of a text; a shorter one is one shingle."""
-    return {tuple(words[i : i + SHINGLE]) for i in range(max(1, len(words) - SHINGLE + 1))} if words else set()
+    return {tuple(words[i : i + size]) for i in range(max(1, len(words) - size + 1))} if words else set()
 
 
 def _may_lack(n: int) -> int:
@@ -121,7 +121,7 @@ class ItemIndex:
             commonest = max(own, key=lambda w: (frequency[w], w))
             impact = {w: x / total for w, x in own.items()}
             least = least_score(question, answer, impact)
-            parts = (shingles(question), Counter(answer), shingles(whole), least)
+            parts = (shingles(question), min(SHINGLE, len(question)), Counter(answer), shingles(whole), min(SHINGLE, len(whole)), least)
             rows.append((commonest, len(whole), item, parts, {w: x / least for w, x in impact.items()}))
             self.longest = max(self.longest, len(whole))
         rows.sort(key=lambda r: r[:3])
@@ -215,13 +215,16 @@ class ItemIndex:
             hits = self.search(query, 1.0, blocks)
             if not hits:
                 continue
-            own = shingles(words[start:stop])
+            own = {SHINGLE: shingles(words[start:stop])}
             bag = Counter(words[start:stop])
             for item, score in hits:
-                q, answer, whole, least = self.parts[item]
-                question_share = len(q & own) / len(q) if q else 1.0
+                q, q_size, answer, whole, size, least = self.parts[item]
+                # a part of fewer words is compared with the passage's shingles of as many
+                for n in {q_size, size} - own.keys():
+                    own[n] = shingles(words[start:stop], n) if n else set()
+                question_share = len(q & own[q_size]) / len(q) if q else 1.0
                 answer_share = sum((answer & bag).values()) / max(1, sum(answer.values()))
-                overlap = len(whole & own) / len(whole)
+                overlap = len(whole & own[size]) / len(whole)
                 if overlap >= SIMILAR or (question_share >= SIMILAR and answer_share >= SIMILAR):
                     best[item] = max(best.get(item, (0.0,) * 4), (score * least, question_share, answer_share, overlap), key=lambda x: (x[3], x[0]))
         return {self.ids[i]: v for i, v in best.items()}

@@ -380,6 +380,17 @@ def test_least_score_bounds_every_copy():
                 assert sum(x for w, x in impact.items() if w not in lacks) >= least
 
 
+def test_short_items_and_questions():
+    items = [(1, "Which stone burns? Coal."), (2, "Who wrote Hamlet? It was the poet from Stratford."), (3, "Alone")]
+    rng = random.Random(9)
+    filled = lambda t: prose(rng, 70) + t + " " + prose(rng, 70)
+    texts = [filled("Which stone burns? Coal."), filled("Who wrote Hamlet? It was a poet from Stratford."), filled("alone"), filled("Which stone is coal? It burns."), "Which stone burns? Coal."]
+    words = [decontamination.tokens(t) for _, t in items]
+    index = decontamination.ItemIndex(items, len(items), sum(map(len, words)) / len(words), Counter(w for t in words for w in set(t)))
+    assert [sorted(index.leaks(t)) for t in texts] == [[1], [2], [3], [], [1]]
+    assert index.leaks(texts[1])[2][1] == 1.0
+
+
 def simple_targets(sizes, weights=(5, 2, 1), budget=1.5, cap=2.0):
     order = sorted(sizes, key=lambda s: (s is None, s or ""))
     weight = {s: weights[i % len(weights)] for i, s in enumerate(order)}
