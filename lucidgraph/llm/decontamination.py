@@ -3,12 +3,16 @@
 The test items are the documents of the index and each passage of a training text is a query. All items above a score
 are retrieved, not a top k, and each hit is verified by the overlap of its question and its answer with the passage.
 The score is each item's own: the least that a passage which passes verification can have.
+
+Items are indexed in shards of bounded size, one after the other on the driver, each written to the shared folder; a
+task loads one shard at a time. Nothing is broadcast, and executors need no copy of this package.
 """
 
 from __future__ import annotations
 
 import bisect
 import math
+import pickle
 import re
 import sys
 from collections import Counter, defaultdict
@@ -16,20 +20,24 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from lucidgraph.llm.shared import by_value, table, text_batches
+from lucidgraph.llm.shared import by_value, shared_dir, table, text_batches
 
 #: Words of a shingle, and the similarity from which a passage counts as a copy.
 SHINGLE, SIMILAR = 5, 0.8
 K1, B = 1.2, 0.75
-#: The share of an item's own score from which ``OP8_SQL`` retrieves it; the operator's shares are ``least_score``.
-SCORE = 0.6
 #: Blocks of an index.
 BLOCKS = 64
-#: Bytes of item text and items in one index; more items are indexed in shards, each with a pass over the texts.
+#: Bytes of item text and items in one index; more items are indexed in shards.
 SHARD_BYTES, SHARD_ITEMS = 4 << 20, 10_000
+#: Bytes of text that a task holds while it goes through the shards, if there are several.
+HELD_BYTES = 64 << 20
+#: Words of a text whose block bounds are computed together.
+BOUND_WORDS = 1 << 16
 
 _WORD = re.compile(r"[^\W_]+")
 
@@ -105,9 +113,10 @@ class ItemIndex:
     impacts bound them well. ``block_most[t, b]`` is the largest impact of term t in block b.
     """
 
-    def __init__(self, items: list[tuple[int, str]], n_items: int, mean_words: float, frequency: dict[str, int]):
-        rows, self.longest = [], 1
-        for item, text in items:
+    def __init__(self, items: list[tuple], n_items: int, mean_words: float, frequency: dict[str, int], longest: int = 1):
+        """``items``: (id, text) or (id, text, times), as often as the row is repeated; ``longest``: of all shards."""
+        rows, self.longest = [], longest
+        for item, text, *times in items:
             question, answer = question_and_answer(text)
             whole = question + answer
             if not whole:
@@ -122,10 +131,10 @@ class ItemIndex:
             impact = {w: x / total for w, x in own.items()}
             least = least_score(question, answer, impact)
             parts = (shingles(question), min(SHINGLE, len(question)), Counter(answer), shingles(whole), min(SHINGLE, len(whole)), least)
-            rows.append((commonest, len(whole), item, parts, {w: x / least for w, x in impact.items()}))
+            rows.append((commonest, len(whole), item, parts, {w: x / least for w, x in impact.items()}, times[0] if times else 1))
             self.longest = max(self.longest, len(whole))
-        rows.sort(key=lambda r: r[:3])
-        self.ids, self.parts = [r[2] for r in rows], [r[3] for r in rows]
+        rows.sort(key=lambda r: (*r[:2], r[2] is not None, str(r[2])))
+        self.ids, self.parts, self.times = [r[2] for r in rows], [r[3] for r in rows], [r[5] for r in rows]
         self.terms = {w: i for i, w in enumerate(sorted({w for r in rows for w in r[4]}))}
         self.size = max(1, -(-len(rows) // BLOCKS))
         n = max(1, -(-len(rows) // self.size))
@@ -192,21 +201,25 @@ class ItemIndex:
         before = np.full(len(ids), -1)
         same = ids[order[1:]] == ids[order[:-1]]
         before[order[1:][same]] = order[:-1][same]
-        starts = np.arange(0, len(ids), size)
         chunk = np.arange(len(ids)) // size * size
-        most = self.block_most[ids]
-        most[before >= chunk] = 0
-        first = np.add.reduceat(most, starts)
-        most[before >= chunk - size] = 0
-        second = np.add.reduceat(most, starts)
-        bounds = first
-        bounds[:-1] += second[1:]
-        for k in np.flatnonzero((bounds >= 1 - 1e-4).any(1)).tolist():
-            start, stop = k * size, min(len(ids), (k + 2) * size)
-            yield start, stop, [t for t in set(ids[start:stop].tolist()) if t != none], np.flatnonzero(bounds[k] >= 1 - 1e-4).tolist()
-
-    def leaks(self, text: str | None) -> dict[int, tuple[float, float, float, float]]:
-        """item -> (score, question overlap, answer overlap, overlap) in its best passage, where that is a copy."""
+        here, near = before < chunk, before < chunk - size
+        step = max(1, BOUND_WORDS // size) * size
+        for at in range(0, len(ids), step):
+            # the passages that start in these words, and the chunk after them
+            to = min(len(ids), at + step + size)
+            most = self.block_most[ids[at:to]]
+            starts = np.arange(0, to - at, size)
+            most[~here[at:to]] = 0
+            bounds = np.add.reduceat(most, starts)
+            most[~near[at:to]] = 0
+            bounds[:-1] += np.add.reduceat(most, starts)[1:]
+            bounds = bounds[: step // size]
+            for k in np.flatnonzero((bounds >= 1 - 1e-4).any(1)).tolist():
+                start, stop = at + k * size, min(len(ids), at + (k + 2) * size)
+                yield start, stop, [t for t in set(ids[start:stop].tolist()) if t != none], np.flatnonzero(bounds[k] >= 1 - 1e-4).tolist()
+
+    def copies(self, text: str | None) -> dict[int, tuple[float, float, float, float]]:
+        """place of the item -> (score, question overlap, answer overlap, overlap) in its best passage that is a copy."""
         words = tokens(text)
         if not words or not self.ids:
             return {}
@@ -227,94 +240,145 @@ class ItemIndex:
                 overlap = len(whole & own[size]) / len(whole)
                 if overlap >= SIMILAR or (question_share >= SIMILAR and answer_share >= SIMILAR):
                     best[item] = max(best.get(item, (0.0,) * 4), (score * least, question_share, answer_share, overlap), key=lambda x: (x[3], x[0]))
-        return {self.ids[i]: v for i, v in best.items()}
+        return best
+
+    def leaks(self, text: str | None) -> dict[int, tuple[float, float, float, float]]:
+        """The copies by the items' ids."""
+        return {self.ids[i]: v for i, v in self.copies(text).items()}
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows = [(len(t), len(set(t)), sorted(set(t))) for t in map(tokens, batch.column("text").to_pylist()) if t]
-        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.list_(pa.string()))], ["n", "words"])
+        rows = [(k, len(t), sorted(set(t))) for k, t in zip(batch.column("times").to_pylist(), map(tokens, batch.column("text").to_pylist())) if t]
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.list_(pa.string())))], ["times", "n", "words"])
+
 
+_COUNTED = "times long, n long, words array<string>"
 
-def build_indexes(items: DataFrame, item: str = "item_id", text: str = "text") -> list[ItemIndex]:
+
+def build_indexes(items: DataFrame, item: str = "item_id", text: str = "text") -> Iterator[ItemIndex]:
     """One index for each ``SHARD_BYTES`` of text or ``SHARD_ITEMS`` items; frequencies are those of all items.
 
-    Null and blank items are left out. Repeated items are items of their own.
+    Null and blank items are left out. Repeated items are items of their own, kept once with their number; a null id is
+    an id. One index is on the driver at a time.
     """
-    rows = items.select(F.col(item).alias("item"), F.col(text).alias("text"), F.xxhash64(F.col(item).cast("string"), F.col(text)).alias("h")).filter("text IS NOT NULL")
+    rows = items.filter(F.col(text).isNotNull()).groupBy(F.col(item).alias("item"), F.col(text).alias("text")).agg(F.count(F.lit(1)).alias("times"))
+    rows = rows.withColumn("h", F.xxhash64(F.col("item").cast("string"), "text"))
     size = rows.agg(F.sum(F.octet_length("text")).alias("bytes"), F.count(F.lit(1)).alias("items")).first()
     shards = max(1, -(-(size["bytes"] or 0) // SHARD_BYTES), -(-size["items"] // SHARD_ITEMS))
-    counted = rows.select("text").mapInArrow(_count_words, "n long, words array<string>")
-    total = counted.agg(F.count(F.lit(1)).alias("items"), F.sum("n").alias("words")).first()
+    counted = lambda r: r.select("text", "times").mapInArrow(_count_words, _COUNTED)
+    total = counted(rows).agg(F.sum("times").alias("items"), F.sum(F.col("n") * F.col("times")).alias("words"), F.max("n").alias("longest")).first()
     if not total["items"]:
-        return []
-    every = counted.select(F.explode("words").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("df")) if shards > 1 else None
-    built = []
+        return
+    frequencies = lambda r: counted(r).select("times", F.explode("words").alias("word")).groupBy("word").agg(F.sum("times").alias("df"))
+    every = frequencies(rows)
     for shard in range(shards):
         own = rows.filter(F.pmod("h", F.lit(shards)) == shard) if shards > 1 else rows
-        listed = sorted((r["item"], r["text"]) for r in own.select("item", "text").collect() if r["item"] is not None)
-        if every is None:
-            frequency = Counter(w for _, t in listed for w in set(tokens(t)))
-        else:
-            here = own.select("text").mapInArrow(_count_words, "n long, words array<string>").select(F.explode("words").alias("word")).distinct()
-            frequency = {r["word"]: r["df"] for r in every.join(here, "word", "left_semi").collect()}
-        built.append(ItemIndex(listed, total["items"], total["words"] / total["items"], frequency))
-    return built
+        listed = [(r["item"], r["text"], r["times"]) for r in own.select("item", "text", "times").collect()]
+        known = every.join(frequencies(own).select("word"), "word", "left_semi") if shards > 1 else every
+        frequency = {r["word"]: r["df"] for r in known.collect()}
+        yield ItemIndex(listed, total["items"], total["words"] / total["items"], frequency, total["longest"])
 
 
-_LEAK = pa.schema([("key", pa.int64()), ("item_id", pa.int64()), ("score", pa.float64()), ("question_overlap", pa.float64()), ("answer_overlap", pa.float64()), ("overlap", pa.float64())])
+class Shards:
+    """Indexes in the shared folder, pickled with their code: a task loads one at a time, or keeps the only one."""
 
+    def __init__(self, uri: str, n: int):
+        self.uri, self.n = uri, n
+
+    def load(self, i: int) -> ItemIndex:
+        from pyarrow import fs
+
+        store, path = fs.FileSystem.from_uri(self.uri)
+        with store.open_input_stream(f"{path}/{i}.index", compression=None) as f:
+            return pickle.loads(f.read())
+
+    def copies(self, batches: Iterator[pa.RecordBatch], text: int) -> Iterator[tuple[pa.RecordBatch, list[list[tuple]]]]:
+        """Each batch with, by row, (id, times, score, overlaps) of the items that it has copies of."""
+        only = self.load(0) if self.n == 1 else None
+        held, size = [], 0
+
+        def searched():
+            found = [[[] for _ in range(b.num_rows)] for b in held]
+            for i in range(self.n):
+                index = only or self.load(i)
+                for b, rows in zip(held, found):
+                    for own, t in zip(rows, b.column(text).to_pylist()):
+                        own += [(index.ids[k], index.times[k], *v) for k, v in sorted(index.copies(t).items())]
+            return zip(held, found)
 
-def _finder(index):
-    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(key, item, *x) for key, text in zip(batch.column("key").to_pylist(), batch.column("text").to_pylist()) for item, x in sorted(index.value.leaks(text).items())]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(_LEAK)], schema=_LEAK)
+            held.append(batch)
+            size += batch.column(text).nbytes
+            if only is not None or size >= HELD_BYTES:
+                yield from searched()
+                held, size = [], 0
+        if held:
+            yield from searched()
 
+
+def saved_indexes(spark: SparkSession, items: DataFrame, item: str, text: str) -> Shards:
+    from pyarrow import fs
+
+    uri, n = shared_dir(spark, "item-indexes"), 0
+    store, path = fs.FileSystem.from_uri(uri)
+    store.create_dir(path, recursive=True)
+    for n, index in enumerate(build_indexes(items, item, text), 1):
+        with store.open_output_stream(f"{path}/{n - 1}.index", compression=None) as f:
+            f.write(cloudpickle.dumps(index))
+    return Shards(uri, n)
+
+
+_FOUND = [("score", T.DoubleType()), ("question_overlap", T.DoubleType()), ("answer_overlap", T.DoubleType()), ("overlap", T.DoubleType())]
+
+
+def _finder(shards: Shards):
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, found in shards.copies(batches, 1):
+            rows = [(key, x[0], *x[2:]) for key, own in zip(batch.column("key").to_pylist(), found) for x in own for _ in range(x[1])]
+            columns = [pa.array([r[i] for r in rows], t) for i, t in enumerate([batch.column("key").type, pa.int64(), *[pa.float64()] * 4])]
+            yield pa.RecordBatch.from_arrays(columns, ["key", "item_id", *names])
+
+    names = [n for n, _ in _FOUND]
     return find
 
 
-def find_leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def find_leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
     """(doc_id, item_id, score, question_overlap, answer_overlap, overlap) of every copy of an item in a whole text.
 
-    Null and empty texts have none; repeated rows return their copies each; without items or texts the result is empty.
-    The texts don't move: each task holds one index of bounded size.
+    Null and empty texts have none; repeated rows and repeated items return their copies each; null ids, of documents
+    and of items, are returned as null; a document's id may have any type, an item's is a whole number. Without items or texts
+    the result is empty. Other columns are ignored. The texts don't move: each task goes through the indexes.
     """
     text_batches(docs.sparkSession)
-    rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
-    spark = docs.sparkSession
-    found = [rows.mapInArrow(_finder(spark.sparkContext.broadcast(index)), "key long, item_id long, score double, question_overlap double, answer_overlap double, overlap double") for index in build_indexes(items)]
-    if not found:
-        return rows.limit(0).selectExpr("key", "0L item_id", "0D score", "0D question_overlap", "0D answer_overlap", "0D overlap").withColumnRenamed("key", key)
-    out = found[0]
-    for more in found[1:]:
-        out = out.unionAll(more)
-    return out.withColumnRenamed("key", key)
-
-
-def _cleaner(index, at: int):
+    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
+    schema = T.StructType([T.StructField("key", rows.schema["key"].dataType), T.StructField("item_id", T.LongType()), *[T.StructField(n, t) for n, t in _FOUND]])
+    shards = saved_indexes(docs.sparkSession, items.withColumn(item, F.col(item).cast("long")), item, item_text)
+    found = rows.mapInArrow(_finder(shards), schema) if shards.n else docs.sparkSession.createDataFrame([], schema)
+    return found.withColumnRenamed("key", key)
+
+
+def _cleaner(shards: Shards, at: int):
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield batch.filter(pa.array([not index.value.leaks(t) for t in batch.column(at).to_pylist()], pa.bool_()))
+        for batch, found in shards.copies(batches, at):
+            yield batch.filter(pa.array([not own for own in found], pa.bool_()))
 
     return clean
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, text: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns as they are, that hold no copy of an item."""
+def decontaminate(docs: DataFrame, items: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns as they are, that hold no copy of an item. Null and empty texts hold none."""
     text_batches(docs.sparkSession)
-    out = docs
-    for index in build_indexes(items):
-        out = out.mapInArrow(_cleaner(docs.sparkSession.sparkContext.broadcast(index), docs.columns.index(text)), docs.schema)
-    return out
+    shards = saved_indexes(docs.sparkSession, items, item, item_text)
+    return docs.mapInArrow(_cleaner(shards, docs.columns.index(text)), docs.schema) if shards.n else docs
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
-    return found.select("doc_id", "item_id", *[F.round(c, 6).alias(c) for c in ("score", "question_overlap", "answer_overlap", "overlap")])
-
+    return found.select("doc_id", "item_id", *[F.round(c, 6).alias(c) for c, _ in _FOUND])
 
 
+#: Every passage and item that share a shingle are compared: what passes has one, or is an item of one word.
 OP8_SQL = rf"""
 WITH words(kind, id, rid, w, parts) AS (
   SELECT 'item', item_id, row_number() OVER () AS rid, NULL, list_filter(list_transform(regexp_split_to_array(regexp_replace(text, '([.?!])\s+', '\1' || chr(10), 'g'), '\n+'), lambda s: regexp_extract_all(lower(s), '[\p{{L}}\p{{N}}]+')), lambda p: len(p) > 0) FROM benchmark WHERE text IS NOT NULL
@@ -327,14 +391,17 @@ own AS (SELECT item, t, ln(1 + (items - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE))
 impact AS (SELECT item, t, x / sum(x) OVER (PARTITION BY item) AS x FROM own),
 d AS (SELECT id AS doc_id, rid, w FROM words WHERE kind = 'doc' AND len(w) > 0),
 p AS (SELECT doc_id, rid, c, w[c * longest + 1:(c + 2) * longest] AS w FROM (SELECT doc_id, rid, w, longest, unnest(range(0, (len(w) + longest - 1) // longest)) AS c FROM d CROSS JOIN n)),
+x AS (SELECT item, item_id, w, w[1:cut] AS q, w[cut + 1:] AS a, least({SHINGLE}, len(w)) AS wn, least({SHINGLE}, cut) AS qn FROM i),
+y AS (SELECT *, list_distinct(list_transform(range(1, len(w) - wn + 2), lambda k: array_to_string(w[k:k + wn - 1], ' '))) AS ws,
+  CASE WHEN qn = 0 THEN [] ELSE list_distinct(list_transform(range(1, len(q) - qn + 2), lambda k: array_to_string(q[k:k + qn - 1], ' '))) END AS qs FROM x),
+g AS (SELECT DISTINCT n, unnest(s) AS s, item FROM (SELECT wn AS n, ws AS s, item FROM y UNION ALL SELECT qn, qs, item FROM y)),
+ps AS (SELECT rid, c, n, CASE WHEN n = 0 THEN [] ELSE list_distinct(list_transform(range(1, greatest(1, len(w) - n + 1) + 1), lambda k: array_to_string(w[k:k + n - 1], ' '))) END AS ps FROM p CROSS JOIN (SELECT DISTINCT unnest([wn, qn]) AS n FROM y)),
+hit AS (SELECT DISTINCT rid, c, item FROM (SELECT rid, c, n, unnest(ps) AS s FROM ps) JOIN g USING (n, s)),
 t AS (SELECT DISTINCT rid, c, unnest(w) AS t FROM p),
-hit AS (SELECT rid, c, item, sum(x) AS score FROM t JOIN impact USING (t) GROUP BY ALL HAVING sum(x) >= {SCORE}::DOUBLE - 1e-9::DOUBLE),
-sh AS (SELECT h.*, p.doc_id, p.w AS pw, i.item_id, i.w AS iw, i.w[1:cut] AS q, i.w[cut + 1:] AS a FROM hit h JOIN p USING (rid, c) JOIN i USING (item)),
-s AS (SELECT *, list_distinct(list_transform(range(1, greatest(1, len(pw) - 4) + 1), lambda k: array_to_string(pw[k:k + 4], ' '))) AS ps,
-  list_distinct(list_transform(range(1, greatest(1, len(iw) - 4) + 1), lambda k: array_to_string(iw[k:k + 4], ' '))) AS ws,
-  CASE WHEN len(q) = 0 THEN [] ELSE list_distinct(list_transform(range(1, greatest(1, len(q) - 4) + 1), lambda k: array_to_string(q[k:k + 4], ' '))) END AS qs FROM sh),
-o AS (SELECT rid, doc_id, item, item_id, score, CASE WHEN len(qs) = 0 THEN 1 ELSE len(list_intersect(qs, ps)) / len(qs)::DOUBLE END AS question_overlap,
-  list_sum(list_transform(list_distinct(a), lambda x: least(len(list_filter(a, lambda y: y = x)), len(list_filter(pw, lambda y: y = x))))) / greatest(1, len(a))::DOUBLE AS answer_overlap, len(list_intersect(ws, ps)) / len(ws)::DOUBLE AS overlap FROM s),
+score AS (SELECT rid, c, item, sum(x) AS score FROM hit JOIN t USING (rid, c) JOIN impact USING (item, t) GROUP BY ALL),
+o AS (SELECT h.rid, p.doc_id, h.item, y.item_id, h.score, CASE WHEN len(qs) = 0 THEN 1 ELSE len(list_intersect(qs, b.ps)) / len(qs)::DOUBLE END AS question_overlap,
+  list_sum(list_transform(list_distinct(a), lambda x: least(len(list_filter(a, lambda z: z = x)), len(list_filter(p.w, lambda z: z = x))))) / greatest(1, len(a))::DOUBLE AS answer_overlap, len(list_intersect(ws, f.ps)) / len(ws)::DOUBLE AS overlap
+  FROM score h JOIN p USING (rid, c) JOIN y USING (item) JOIN ps f ON f.rid = h.rid AND f.c = h.c AND f.n = y.wn JOIN ps b ON b.rid = h.rid AND b.c = h.c AND b.n = y.qn),
 k AS (SELECT *, row_number() OVER (PARTITION BY rid, item ORDER BY overlap DESC, score DESC) AS r FROM o WHERE overlap >= {SIMILAR}::DOUBLE OR (question_overlap >= {SIMILAR}::DOUBLE AND answer_overlap >= {SIMILAR}::DOUBLE))
 SELECT doc_id, item_id, round(score, 6) AS score, round(question_overlap, 6) AS question_overlap, round(answer_overlap, 6) AS answer_overlap, round(overlap, 6) AS overlap FROM k WHERE r = 1
 """

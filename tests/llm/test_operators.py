@@ -361,7 +361,7 @@ def test_copies_without_the_heavy_words():
     want = copies(items, texts)
     got = {(t, i): v for t, text in enumerate(texts) for i, v in index.leaks(text).items()}
     assert {(t, 10 * t) for t in range(20)} <= want <= set(got)
-    assert max(v[0] for k, v in got.items() if k in want) < decontamination.SCORE
+    assert max(v[0] for k, v in got.items() if k in want) < 0.6
 
 
 def test_least_score_bounds_every_copy():
@@ -560,3 +560,58 @@ def test_classifier_sees_single_words(spark):
     judged = {r["doc_id"]: r for r in perplexity.classify(frame, perplexity.fit(frame, labels)).collect()}
     assert sum(judged[i]["_kept"] for i in range(400)) >= 398
     assert all(judged[i]["_low"] <= judged[i]["_score"] <= judged[i]["_high"] and not judged[i]["_kept"] for i in range(500, 510))
+
+
+def test_question_and_answer_verdict(spark):
+    """Whole overlap, or question and answer, in some passage: by brute force over all passages and items."""
+    rng = random.Random(14)
+    word = lambda: f"w{rng.randrange(400)}"
+    items = [(i, " ".join(word() for _ in range(rng.randrange(6, 14))) + "? " + " ".join(word() for _ in range(rng.randrange(1, 7))) + ".") for i in range(25)] + [(None, "A question without an id? Yes it is.")]
+    texts = []
+    for _, body in items:
+        q, a = body.split("? ")
+        a = a.rstrip(".").split()
+        rng.shuffle(a)
+        texts.append(f"{prose(rng, 30)} {q} {' '.join(word() for _ in range(rng.randrange(5)))} {' '.join(a)} {prose(rng, 20)}")
+        texts.append(f"{prose(rng, 30)} {q} {prose(rng, 300)} {' '.join(a)}")
+    longest = max(len(decontamination.tokens(t)) for _, t in items)
+    want, by_parts = set(), 0
+    for d, t in enumerate(texts):
+        own = decontamination.tokens(t)
+        for start in range(0, len(own), longest):
+            part = own[start : start + 2 * longest]
+            for item, body in items:
+                q, a = decontamination.question_and_answer(body)
+                share = lambda x: len(decontamination.shingles(x) & decontamination.shingles(part, min(5, len(x)))) / len(decontamination.shingles(x))
+                answered = sum((Counter(a) & Counter(part)).values()) / len(a)
+                if share(q + a) >= 0.8 or (share(q) >= 0.8 and answered >= 0.8):
+                    want.add((d, item))
+                    by_parts += share(q + a) < 0.8
+    frame = spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)], "doc_id string, text string")
+    got = decontamination.find_leaks(frame, spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(int(r["doc_id"]), r["item_id"]) for r in got} == want and by_parts > 10 and (50, None) in want
+
+
+def test_copies_in_very_long_texts(monkeypatch):
+    """A million words, and bounds that are computed in parts, find what whole bounds find."""
+    rng = random.Random(15)
+    items = [(i, prose(rng, 20, 3000)) for i in range(50)]
+    words_ = [decontamination.tokens(t) for _, t in items]
+    index = decontamination.ItemIndex(items, len(items), 20, Counter(w for t in words_ for w in set(t)))
+    filler = [f"w{rng.randrange(3000)}" for _ in range(1_000_000)]
+    places = {i: 19_997 * i + 13 for i in range(0, 50, 7)}
+    for i, at in places.items():
+        filler[at : at + 20] = words_[i]
+    text = " ".join(filler)
+    whole = index.leaks(text)
+    assert set(places) <= set(whole)
+    monkeypatch.setattr(decontamination, "BOUND_WORDS", 1000)
+    assert index.leaks(text) == whole
+
+
+def test_repeated_and_null_items(spark):
+    body = "What is the longest river of the northern lands? It is the old Tasman."
+    items = spark.createDataFrame([(1, body), (1, body), (None, body), (2, body), (None, None)], "item_id long, text string")
+    docs = spark.createDataFrame([(7, "see " + body), (8, None)], "doc_id long, text string")
+    assert sorted((r["item_id"] or 0) for r in decontamination.find_leaks(docs, items).collect()) == [0, 1, 1, 2]
+    assert [r["doc_id"] for r in decontamination.decontaminate(docs, items).collect()] == [8]
