@@ -1,9 +1,10 @@
 """Secret scans with DataFrame functions only: fixed patterns, and a battery of randomness tests for other tokens.
 
-A token is reported as random if (1) chi-squared uniformity, runs and serial-correlation tests over the alphabet of
-its inferred encoding do not reject randomness, and (2) its symbol collisions are too few for text, by a p-value that
-passes Benjamini-Hochberg control among all tokens of the corpus of the same encoding and length band. A short token
-can't reach a small p-value, and long ones don't pay for the many short ones.
+The battery's p-value joins chi-squared uniformity, runs and serial-correlation tests over the alphabet of a token's
+inferred encoding. Benjamini-Hochberg control among all tokens of the corpus of the same encoding and length band says
+which tokens are not random. Of the others those are reported whose chi-squared statistic (as symbol collisions) is too
+low for text, by a second p-value under the same control, in which the tokens that are not random count as 1. A short
+token can't reach a small p-value, and long ones don't pay for the many short ones.
 """
 
 from __future__ import annotations
@@ -38,22 +39,48 @@ BANDS = (32, 64)
 BINS_PER_DECADE, MOST_BINS = 10, 300
 
 
-def _spans(text: str, kind: int, pattern: str, group: int, least: int) -> str:
-    """SQL for the array of (start, kind, end) of a pattern's matches, which never are empty.
+#: ``t``: the matched text, where it is tested further; to cut it out again would read the text from its start.
+_SPANS = "array<struct<start:int,kind:int,end:int,t:string>>"
+_NONE = f"cast(array() AS {_SPANS})"
+#: Steps of an inner loop: what is found is put together block by block, so that no long array grows by one.
+BLOCK = 256
+
+
+def _let(name: str, value: str, body: str) -> str:
+    return f"element_at(transform(array({value}), {name} -> {body}), 1)"
+
+
+def _walk(n: str, start: str, step: str) -> str:
+    """SQL for the spans found in ``n`` steps, one at least: ``step`` makes (at, found) from ``c``, the same before, and
+    the number ``i``."""
+    inner = f"aggregate(sequence(b * {BLOCK}, least({n}, (b + 1) * {BLOCK}) - 1), named_struct('at', a.at, 'found', {_NONE}), (c, i) -> {step})"
+    joined = _let("r", inner, "named_struct('at', r.at, 'found', concat(a.found, array(r.found)))")
+    return f"aggregate(sequence(0, cast(({n} - 1) div {BLOCK} AS int)), named_struct('at', {start}, 'found', cast(array() AS array<{_SPANS}>)), (a, b) -> {joined}, a -> flatten(a.found))"
+
+
+def _spans(text: str, kind: int, pattern: str, group: int, least: int, matched: str = "cast(null AS string)") -> str:
+    """SQL for the array of (start, kind, end, t) of a pattern's matches, which never are empty.
 
     Matches and what lies between them alternate, so their lengths give the places (in code points). A text is
     split only if something matches.
     """
     p = pattern.replace("\\", "\\\\").replace("'", "\\'")
-    return f"""
-    element_at(transform(array(regexp_extract_all({text}, '{p}', 0)), m -> if(size(m) = 0, cast(array() AS array<struct<start:int,kind:int,end:int>>),
-      element_at(transform(array(struct(split({text}, '{p}', -1) AS gaps, regexp_extract_all({text}, '{p}', {group}) AS parts)), g ->
-        aggregate(sequence(0, size(m) - 1), named_struct('at', 0, 'found', cast(array() AS array<struct<start:int,kind:int,end:int>>)),
-          (a, i) -> named_struct(
-            'at', a.at + length(g.gaps[i]) + length(m[i]),
-            'found', if(length(g.parts[i]) >= {least}, concat(a.found, array(named_struct('start', a.at + length(g.gaps[i]), 'kind', {kind}, 'end', a.at + length(g.gaps[i]) + length(m[i])))), a.found)),
-          a -> a.found)), 1))), 1)
+    start = "c.at + length(g.gaps[i])"
+    span = f"named_struct('start', {start}, 'kind', {kind}, 'end', {start} + length(m[i]), 't', {matched})"
+    step = f"named_struct('at', {start} + length(m[i]), 'found', if(length(g.parts[i]) >= {least}, concat(c.found, array({span})), c.found))"
+    body = _let("g", f"struct(split({text}, '{p}', -1) AS gaps, regexp_extract_all({text}, '{p}', {group}) AS parts)", _walk("size(m)", "0", step))
+    return _let("m", f"regexp_extract_all({text}, '{p}', 0)", f"if(size(m) = 0, {_NONE}, {body})")
+
+
+def _apart(spans: str, base: str) -> str:
+    """SQL for those of ``spans``, which lie apart from each other, that overlap no span of ``base``.
+
+    All go by start in one pass: a span must start after the ends of the base spans so far, and end before the next.
     """
+    after = "coalesce(get(e, i + 1).kind < 3 AND get(e, i + 1).start < e[i].end, false)"
+    step = f"if(e[i].kind < 3, named_struct('at', greatest(c.at, e[i].end), 'found', c.found), named_struct('at', c.at, 'found', if(c.at <= e[i].start AND NOT {after}, concat(c.found, array(e[i])), c.found)))"
+    same = f"transform({base}, x -> named_struct('start', x.start, 'kind', x.kind, 'end', x.end, 't', cast(null AS string)))"
+    return _let("all", spans, f"if(size(all) = 0 OR size({base}) = 0, all, {_let('e', f'sort_array(concat({same}, all))', _walk('size(e)', '0', step))})")
 
 
 # A case is written as a lambda over bound values: t is the token, n its length, k its alphabet's size, v its digits.
@@ -67,31 +94,37 @@ _ALPHABET = "CASE e " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in ALPHABETS.
 _COLLISION = "CASE e " + " ".join(f"WHEN '{k}' THEN {v}D" for k, v in COLLISION.items()) + " END"
 
 
-def _let(name: str, value: str, body: str) -> str:
-    return f"element_at(transform(array({value}), {name} -> {body}), 1)"
+def _bin(p: str) -> str:
+    """A p-value rounded up to a tenth of a decade."""
+    return f"cast(least({MOST_BINS}, floor(-{BINS_PER_DECADE} * log10(greatest({p}, 1e-300D)))) AS int)"
 
 
 def battery(token: str) -> str:
-    """SQL for struct(encoding, band, p_random, p_text, bin) of a token of 20 or more characters of TOKEN.
+    """SQL for struct(encoding, band, p_random, p_text, random, text) of a token of 20 or more characters of TOKEN; the
+    last two are the p-values' bins.
 
-    A symbol outside the alphabet (a mix of - and /, say) counts as a digit of value -1.
+    A symbol outside the alphabet (a mix of - and /, say) counts as a digit of value -1. The time is in proportion to
+    the length: u is the token as it is read, w its symbols, v their digits.
     """
-    squares = "aggregate(array_distinct(v), 0D, (a, x) -> a + pow(size(filter(v, y -> y = x)), 2))"
+    squares = "aggregate(array_distinct(w), 0D, (a, x) -> a + pow(n - length(replace(u, x, '')), 2))"
     chi = "((k * q / n - n) - (k - 1)) / sqrt(2 * (k - 1) * (n - 1) / n)"
     runs = _let("lo", "size(filter(v, x -> 2 * x < k))", _let("x", "2D * lo * (n - lo) / n + 1", _let("d", "(x - 1) * (x - 2) / (n - 1)", "if(d <= 0, 10D, (1D + size(filter(sequence(1, cast(n AS int) - 1), i -> (2 * v[i] < k) != (2 * v[i - 1] < k))) - x) / sqrt(d))")))
-    serial = _let("c", "transform(v, x -> x - aggregate(v, 0D, (a, y) -> a + y) / n)", _let("d", "aggregate(c, 0D, (a, x) -> a + x * x)", "if(d <= 0, 10D, sqrt(n) * aggregate(sequence(1, cast(n AS int) - 1), 0D, (a, i) -> a + c[i] * c[i - 1]) / d + 1 / sqrt(n))"))
+    serial = _let("mean", "aggregate(v, 0D, (a, y) -> a + y) / n", _let("c", "transform(v, x -> x - mean)", _let("d", "aggregate(c, 0D, (a, x) -> a + x * x)", "if(d <= 0, 10D, sqrt(n) * aggregate(sequence(1, cast(n AS int) - 1), 0D, (a, i) -> a + c[i] * c[i - 1]) / d + 1 / sqrt(n))")))
     p_random = f"least(1D, 3 * least({_normal_tail(chi)}, {_normal_tail('r')}, {_normal_tail('s')}))"
     # few collisions speak against text: one side of the tail
     z = f"(((q - n) / 2 - (n * (n - 1) / 2) * {_COLLISION}) / sqrt((n * (n - 1) / 2) * {_COLLISION} * (1 - {_COLLISION})))"
     p_text = f"if({z} < 0, {_normal_tail(z)} / 2, 1 - {_normal_tail(z)} / 2)"
     out = f"""named_struct('encoding', e, 'band', cast(CASE WHEN n < {BANDS[0]} THEN 0 WHEN n < {BANDS[1]} THEN 1 ELSE 2 END AS int), 'p_random', p.r, 'p_text', p.t,
-        'bin', if(p.r < 0.01, 0, cast(least({MOST_BINS}, floor(-{BINS_PER_DECADE} * log10(greatest(p.t, 1e-300D)))) AS int)))"""
+        'random', {_bin('p.r')}, 'text', {_bin('p.t')})"""
     body = _let("p", f"named_struct('r', {p_random}, 't', {p_text})", out)
     body = _let("s", serial, body)
     body = _let("r", runs, body)
     body = _let("q", squares, body)
-    body = _let("v", f"transform(sequence(1, cast(n AS int)), i -> instr({_ALPHABET}, substring(if(e = 'hex', lower(t), t), i, 1)) - 1)", body)
-    body = _let("k", f"cast(length({_ALPHABET}) AS double)", body)
+    body = _let("v", "transform(w, x -> instr(l, x) - 1)", body)
+    body = _let("w", "split(u, '')", body)
+    body = _let("u", "CASE e WHEN 'hex' THEN lower(t) WHEN 'base64url' THEN translate(t, '/', '+') ELSE t END", body)
+    body = _let("k", "cast(length(l) AS double)", body)
+    body = _let("l", _ALPHABET, body)
     body = _let("n", "cast(length(t) AS double)", body)
     body = _let("e", _ENCODING, body)
     return _let("t", token, body)
@@ -101,38 +134,57 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     """Adds ``base`` (spans of the fixed patterns, by start, then kind) and ``tokens`` (others, with their tests).
 
     Null text counts as empty. Tokens that overlap a base span are not tested: they are reported already. Columns of
-    these names in ``docs`` are replaced.
+    these names in ``docs`` are replaced. Time grows with a text's length, tokens and spans, not with their squares.
     """
     base = docs.drop(*[c for c in ("base", "tokens", "_t") if c != text])
     rows = base.withColumn("_t", F.coalesce(F.col(text), F.lit("")))
     # what a match can't do without is looked for first
     need = {"assign": "contains(_t, '=') OR contains(_t, ':')", "access": "contains(_t, 'AKIA')", "hex": "true"}
-    none = "cast(array() AS array<struct<start:int,kind:int,end:int>>)"
-    found = [f"if({need[kind]}, {_spans('_t', i, pattern, group, least)}, {none})" for i, (kind, pattern, group, least) in enumerate(BASE)]
-    rows = rows.withColumn("base", F.expr(f"sort_array(concat({', '.join(found)}))"))
-    tokens = _let("all", _spans("_t", 3, TOKEN, 1, 20), "filter(all, x -> NOT exists(base, b -> b.start < x.end AND x.start < b.end))")
-    rows = rows.withColumn("tokens", F.expr(f"transform({tokens}, x -> named_struct('start', x.start, 'kind', x.kind, 'end', x.end, 'test', {battery('substring(_t, x.start + 1, x.end - x.start)')}))"))
+    found = [f"if({need[kind]}, {_spans('_t', i, pattern, group, least)}, {_NONE})" for i, (kind, pattern, group, least) in enumerate(BASE)]
+    rows = rows.withColumn("base", F.expr(f"sort_array(transform(concat({', '.join(found)}), x -> named_struct('start', x.start, 'kind', x.kind, 'end', x.end)))"))
+    tokens = _apart(_spans("_t", 3, TOKEN, 1, 20, "m[i]"), "base")
+    rows = rows.withColumn("tokens", F.expr(f"transform({tokens}, x -> named_struct('start', x.start, 'kind', x.kind, 'end', x.end, 'test', {battery('x.t')}))"))
     return rows.drop("_t")
 
 
-def discovery_bins(scanned: DataFrame, rate: float) -> list[tuple[str, int, int]]:
-    """(encoding, band, least bin): Benjamini-Hochberg at ``rate`` within each encoding and length band.
+def _least_bin(counts: dict[int, int], total: int, rate: float) -> int | None:
+    """Benjamini-Hochberg over binned p-values: the least bin that is a discovery."""
+    above, best = 0, None
+    for b in sorted(counts, reverse=True):
+        above += counts[b]
+        if b > 0 and 10 ** (-b / BINS_PER_DECADE) <= rate * above / total:
+            best = b
+    return best
+
+
+def discovery_bins(scanned: DataFrame, rate: float) -> list[tuple[str, int, int, int]]:
+    """(encoding, band, bin from which a token is not random, bin from which one is not text): Benjamini-Hochberg at
+    ``rate`` within each encoding and length band, first for the battery, then for the tokens that it leaves.
 
-    p-values are rounded up to a tenth of a decade, so a count per bin is enough: the table has at most 4 encodings x
-    3 bands x 301 bins, whatever the corpus. Tokens that fail the battery count as p = 1.
+    p-values are rounded up to a tenth of a decade, so a count per bin is enough: a table has at most 4 encodings x
+    3 bands x 301 bins, whatever the corpus. Tokens that are not random count as p = 1 in the second.
     """
-    bins = scanned.select(F.explode("tokens.test").alias("t")).groupBy("t.encoding", "t.band", "t.bin").agg(F.count(F.lit(1)).alias("n")).collect()
-    least = []
-    for encoding, band in sorted({(r["encoding"], r["band"]) for r in bins}):
-        own = {r["bin"]: r["n"] for r in bins if (r["encoding"], r["band"]) == (encoding, band)}
-        total, above, best = sum(own.values()), 0, None
-        for b in sorted(own, reverse=True):
-            above += own[b]
-            if b > 0 and 10 ** (-b / BINS_PER_DECADE) <= rate * above / total:
-                best = b
-        if best is not None:
-            least.append((encoding, band, best))
-    return least
+    tests = scanned.select(F.explode("tokens.test").alias("t")).select("t.*")
+
+    def counted(bin_):
+        out: dict[tuple[str, int], dict[int, int]] = {}
+        for r in tests.groupBy("encoding", "band", bin_.alias("bin")).agg(F.count(F.lit(1)).alias("n")).collect():
+            out.setdefault((r["encoding"], r["band"]), {})[r["bin"]] = r["n"]
+        return out
+
+    rejected = {}
+    for key, own in counted(F.col("random")).items():
+        least = _least_bin(own, sum(own.values()), rate)
+        rejected[key] = MOST_BINS + 1 if least is None else least
+    is_random = F.lit(False)
+    for (encoding, band), least in sorted(rejected.items()):
+        is_random |= (F.col("encoding") == encoding) & (F.col("band") == band) & (F.col("random") < least)
+    found = []
+    for key, own in counted(F.when(is_random, F.col("text")).otherwise(0)).items():
+        least = _least_bin(own, sum(own.values()), rate)
+        if least is not None:
+            found.append((*key, rejected[key], least))
+    return sorted(found)
 
 
 def _listed(spans: Column) -> Column:
@@ -148,7 +200,7 @@ def find_secrets(docs: DataFrame, text: str = "text", rate: float = 0.01) -> Dat
     """
     scanned = written(scan(docs, text).drop(text), "secret-scan")
     least = discovery_bins(scanned, rate)
-    found = "false" if not least else " OR ".join(f"(x.test.encoding = '{e}' AND x.test.band = {b} AND x.test.bin >= {n})" for e, b, n in least)
+    found = "false" if not least else " OR ".join(f"(x.test.encoding = '{e}' AND x.test.band = {b} AND x.test.random < {r} AND x.test.text >= {n})" for e, b, r, n in least)
     extra = F.expr(f"transform(filter(tokens, x -> {found}), x -> named_struct('start', x.start, 'kind', x.kind, 'end', x.end))")
     return scanned.withColumn("secrets", F.sort_array(F.concat("base", extra))).drop("tokens")
 
@@ -174,6 +226,7 @@ def _sql(rate: float = 0.01) -> str:
     tail = lambda z: f"(2 / (1 + exp(least(700, 1.5976::DOUBLE * abs({z}) + 0.070565::DOUBLE * abs({z}) ** 3))))"
     alphabets = "CASE e " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in ALPHABETS.items()) + " END"
     chance = "CASE e " + " ".join(f"WHEN '{k}' THEN {v}::DOUBLE" for k, v in COLLISION.items()) + " END"
+    binned = lambda p: f"CAST(least({MOST_BINS}, floor(-{BINS_PER_DECADE} * log10(greatest({p}, 1e-300::DOUBLE)))) AS INTEGER)"
     names = "['" + "', '".join(KINDS) + "'][kind + 1]"
     listed = f"string_agg({names} || ':' || start || ':' || stop, ',' ORDER BY start, kind)"
     return rf"""
@@ -192,7 +245,10 @@ r AS (SELECT *, 2 * lo * (n - lo) / n + 1 AS rx, 1 + len(list_filter(range(2, le
 z AS (SELECT *, ((k * q / n - n) - (k - 1)) / sqrt(2 * (k - 1) * (n - 1) / n) AS z1, CASE WHEN (rx - 1) * (rx - 2) / (n - 1) <= 0 THEN 10 ELSE (runs - rx) / sqrt((rx - 1) * (rx - 2) / (n - 1)) END AS z2,
   CASE WHEN ss <= 0 THEN 10 ELSE sqrt(n) * sc / ss + 1 / sqrt(n) END AS z3, ((q - n) / 2 - pairs * c) / sqrt(pairs * c * (1 - c)) AS z0 FROM r),
 p AS (SELECT *, least(1, 3 * least({tail('z1')}, {tail('z2')}, {tail('z3')})) AS pr, CASE WHEN z0 < 0 THEN {tail('z0')} / 2 ELSE 1 - {tail('z0')} / 2 END AS pt, CASE WHEN n < {BANDS[0]} THEN 0 WHEN n < {BANDS[1]} THEN 1 ELSE 2 END AS band FROM z),
-b AS (SELECT *, CASE WHEN pr < 0.01::DOUBLE THEN 0 ELSE CAST(least({MOST_BINS}, floor(-{BINS_PER_DECADE} * log10(greatest(pt, 1e-300::DOUBLE)))) AS INTEGER) END AS bin FROM p),
+a AS (SELECT *, {binned('pr')} AS random, {binned('pt')} AS text FROM p),
+r0 AS (SELECT *, count(*) OVER (PARTITION BY e, band) AS total, count(*) OVER (PARTITION BY e, band ORDER BY random DESC RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS above FROM a),
+r1 AS (SELECT e, band, min(random) FILTER (WHERE random > 0 AND 10 ** (-random / {BINS_PER_DECADE}.0::DOUBLE) <= {rate}::DOUBLE * above / total) AS rejected FROM r0 GROUP BY e, band),
+b AS (SELECT a.*, CASE WHEN random >= rejected THEN 0 ELSE text END AS bin FROM a JOIN r1 USING (e, band)),
 h AS (SELECT *, count(*) OVER (PARTITION BY e, band) AS total, count(*) OVER (PARTITION BY e, band ORDER BY bin DESC RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS above FROM b),
 cut AS (SELECT e, band, min(bin) AS least FROM h WHERE bin > 0 AND 10 ** (-bin / {BINS_PER_DECADE}.0::DOUBLE) <= {rate}::DOUBLE * above / total GROUP BY e, band),
 every AS (SELECT rid, kind, start, stop FROM base UNION ALL SELECT rid, 3, start, stop FROM b JOIN cut USING (e, band) WHERE bin >= cut.least),

@@ -115,15 +115,47 @@ def test_secret_battery(spark):
 
 
 def test_secret_discoveries_are_controlled(spark):
-    """The bins give what Benjamini-Hochberg gives on the rounded p-values."""
+    """The bins give what Benjamini-Hochberg gives twice on the rounded p-values: for the battery, then for text."""
     rng = random.Random(2)
-    bins = [rng.choice([0, 0, 0, 1, 5, 9, 14, 25, 60]) for _ in range(300)]
-    rows = [([{"test": {"encoding": "hex", "band": 1, "bin": b}}],) for b in bins]
-    frame = spark.createDataFrame(rows, "tokens array<struct<test:struct<encoding:string,band:int,bin:int>>>")
-    got = secrets.discovery_bins(frame, 0.05)
-    p = sorted(10 ** (-b / 10) for b in bins)
-    k = max((i + 1 for i in range(len(p)) if p[i] <= 0.05 * (i + 1) / len(p) and p[i] < 1), default=0)
-    assert sum(b >= got[0][2] for b in bins) == k
+    bins = [(rng.choice([0, 0, 0, 2, 18, 22, 26, 60]), rng.choice([0, 0, 0, 1, 5, 9, 14, 25, 60])) for _ in range(300)]
+    rows = [([{"test": {"encoding": "hex", "band": 1, "random": r, "text": t}}],) for r, t in bins]
+    frame = spark.createDataFrame(rows, "tokens array<struct<test:struct<encoding:string,band:int,random:int,text:int>>>")
+
+    def discovered(p):
+        k = max((i + 1 for i, x in enumerate(sorted(p)) if x <= 0.05 * (i + 1) / len(p) and x < 1), default=0)
+        return {i for i in sorted(range(len(p)), key=lambda i: p[i])[:k]}
+
+    not_random = discovered([10 ** (-r / 10) for r, _ in bins])
+    found = discovered([1.0 if i in not_random else 10 ** (-t / 10) for i, (_, t) in enumerate(bins)])
+    [(_, _, rejected, least)] = secrets.discovery_bins(frame, 0.05)
+    assert not_random and {i for i, (r, _) in enumerate(bins) if r >= rejected} == not_random
+    assert found and {i for i, (r, t) in enumerate(bins) if r < rejected and t >= least} == found
+
+
+def test_secrets_in_very_long_texts(spark):
+    """A token of a million characters, and a text of very many spans and tokens, some of them in spans."""
+    import time
+
+    rng = random.Random(31)
+    alphabet = secrets.ALPHABETS["base64"]
+    token = "".join(rng.choice(alphabet) for _ in range(1_000_000))
+    short = ["".join(rng.choice(alphabet[:62]) for _ in range(24)) for _ in range(40)]
+    many = " ".join(rng.choice([f"{rng.getrandbits(64):016x}", f"token={rng.choice(short)}", rng.choice(short), "prose"]) for _ in range(60_000))
+    frame = spark.createDataFrame([(0, "a b"), (1, token), (2, many)], "doc_id long, text string").repartition(3)
+    secrets.find_secrets(frame.filter("doc_id = 0")).collect()
+    began = time.time()
+    found = {r["doc_id"]: {tuple(x) for x in r["secrets"]} for r in secrets.find_secrets(frame).collect()}
+    assert time.time() - began < 30
+    assert found[1] >= {(0, 3, 1_000_000)}
+    base = {(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", many) if m.end() - m.start() >= 16}
+    assert base <= found[2] and sum(k == 0 for _, k, _ in found[2]) == many.count("token=")
+    spans = [x for x in found[2] if x[1] < 3]
+    ends, at = sorted(spans), 0
+    for start, kind, end in sorted(found[2]):
+        if kind == 3:
+            while at < len(ends) and ends[at][2] <= start:
+                at += 1
+            assert at == len(ends) or ends[at][0] >= end
 
 
 def test_rules(spark, docs, corpus):
