@@ -1,7 +1,7 @@
 """SimHash near-duplicates: an inverted index of byte positions with count filtering.
 
-A fingerprint has 8 bytes. Two that differ in at most 4 bits agree in at least 4 bytes in place, so a pair is kept if
-the tally of its shared positional bytes reaches 4, and then verified. To tally without listing every pair that shares
+A fingerprint has 8 bytes. Two that differ in at most 4 bits agree in at least 4 bytes in place: a pair is retained if
+the tally of its shared positional bytes reaches 4, and then verified by its bits. To tally without listing every pair that shares
 one byte, postings are of three places at once: of any 4 places out of 8, some 3 are one of 20 chosen triples, so every
 pair with 4 shared bytes meets in a posting list, and lists are about 2^24 times shorter than the table.
 """
@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lucidgraph.llm.shared import by_value, table, text_batches, written
 
@@ -64,8 +65,8 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     A bit is set if more than half the hashes have it. Null texts and texts without words have fingerprint 0.
     """
     text_batches(docs.sparkSession)
-    rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).cast("binary").alias("text"))
-    return rows.mapInArrow(_fingerprints, "key long, print long")
+    rows = docs.select(F.col(key).alias("key"), F.col(text).cast("binary").alias("text"))
+    return rows.mapInArrow(_fingerprints, T.StructType([T.StructField("key", rows.schema["key"].dataType), T.StructField("print", T.LongType())]))
 
 
 def postings(prints: DataFrame) -> DataFrame:
@@ -75,19 +76,24 @@ def postings(prints: DataFrame) -> DataFrame:
     return prints.select("print", F.explode(F.array(*lists)).alias("list"))
 
 
+def shared_bytes(x: np.ndarray) -> np.ndarray:
+    """The tally of shared positional bytes of each pair: of its XOR ``x``, the bytes that are 0."""
+    x = x | x >> np.uint64(4)
+    x |= x >> np.uint64(2)
+    x |= x >> np.uint64(1)
+    return BYTES - np.bitwise_count(x & np.uint64(0x0101010101010101))
+
+
 def linked_within(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places (i in a, j in b) of the pairs that pass the tally of shared positional bytes, and then verification."""
+    """Places (i in a, j in b) of the pairs that are retained by the tally of shared positional bytes and verified."""
     left, right = [], []
     step = max(1, (1 << 21) // max(1, len(b)))
     for at in range(0, len(a), step):
-        x = (a[at : at + step, None] ^ b[None, :]).view(np.uint64)  # of a negative number, bits of the magnitude would be counted
-        near = np.bitwise_count(x) <= MOST_BITS
-        i, j = np.nonzero(near)
-        # what is verified has the shared bytes that it was retrieved by
-        shared = (x[i, j].view(np.uint8).reshape(-1, BYTES) == 0).sum(1)
-        assert (shared >= BYTES - MOST_BITS).all()
-        left.append(i + at)
-        right.append(j)
+        x = (a[at : at + step, None] ^ b[None, :]).view(np.uint64)
+        i, j = np.nonzero(shared_bytes(x) >= BYTES - MOST_BITS)
+        near = np.bitwise_count(x[i, j]) <= MOST_BITS
+        left.append(i[near] + at)
+        right.append(j[near])
     return np.concatenate(left), np.concatenate(right)
 
 
@@ -140,7 +146,7 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 kept_list, kept = lists[at], []
             kept.append(prints[at:to])
         if out:
-            yield pa.Table.from_batches(out).combine_chunks().to_batches(max_chunksize=1 << 20)[0] if sum(b.num_rows for b in out) else pa.RecordBatch.from_arrays([pa.array([], pa.int64())] * 2, schema=_LINK)
+            yield from pa.Table.from_batches(out).combine_chunks().to_batches()
     if kept:
         yield flush()
 
@@ -197,7 +203,8 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, print, component) of every row; component: the smallest key that links of fingerprints reach.
+    """(key, print, component) of every row; component: the smallest key that links of fingerprints reach. Keys may be
+    of any type that has an order.
 
     Null and empty texts have fingerprint 0 and are linked as others are. Equal texts, ties and repeated rows share a
     fingerprint and so a component. Null keys are never the smallest, and have a null component where they are
