@@ -23,6 +23,9 @@ RULES = {
     "word_length": "word_chars < 3 * n_words OR word_chars > 12 * n_words",
 }
 
+#: The counts of a document.
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words")
+
 # A one-element array passed to transform() binds a value to a name: it is computed once for a row.
 _REPEATED = """
 element_at(transform(array({words}), w -> aggregate(sort_array(filter(element_at(transform(array(
@@ -54,8 +57,7 @@ def document_rules(docs: DataFrame, text: str = "text") -> DataFrame:
     Words in 3-word windows found twice: the windows of a text are sorted with their places, equal neighbours are
     repeated, and each repeated place adds the words that the place before it does not cover already.
     """
-    new = ["n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "base_failed", "_words"]
-    base = docs.drop(*[c for c in new if c != text])
+    base = docs.drop(*[c for c in (*COUNTS, "base_failed", "_words") if c != text])
     rows = base.withColumn("_words", words(F.col(text)))
     measured = counts(F.col(text)) | {"n_words": F.size("_words").cast("long"), "n_repeat_words": F.expr(_REPEATED.format(words="_words")).cast("long")}
     rows = rows.withColumns(measured).drop("_words")
@@ -91,17 +93,23 @@ def host_verdicts(rows: DataFrame, host: str, limit: float) -> DataFrame:
 
 
 def judge(docs: DataFrame, host: str = "source", text: str = "text", limit: float = 0.5) -> DataFrame:
-    """The rows of ``docs`` without the text, with their counts, base_failed, the host's shrunk rates, host_failed and kept.
+    """The rows of ``docs`` without the text, with their counts, base_failed, the host's shrunk rates, host_failed and
+    kept, which take the place of columns of their names.
 
     ``kept``: no base rule failed and the host's shrunk failure rates are ``limit`` at most. Null text: no words, so it
     fails. Null hosts form one host. Repeated rows count each. Empty table: empty result. The counts are written once
     to the shared folder, as both the hosts' sums and the join read them; the join moves counts, never texts, and a
     host that has a third of the rows is split by adaptive execution.
     """
-    rows = written(document_rules(docs, text).drop(text), "rule-counts")
-    hosts = host_verdicts(rows, host, limit)
-    joined = rows.join(hosts, rows[host].eqNullSafe(hosts["_host"]), "left").drop("_host")
-    return joined.withColumn("kept", ~F.col("base_failed") & ~F.coalesce(F.col("host_failed"), F.lit(False)))
+    own = [c for c in docs.columns if c != text]
+    # the caller's columns travel in one, so that no name clashes
+    apart = docs.select(F.struct(*[F.col(f"`{c}`") for c in own]).alias("_row"), F.col(host).alias("_of"), F.col(text).alias("_text"))
+    rows = written(document_rules(apart, "_text").drop("_text"), "rule-counts")
+    hosts = host_verdicts(rows, "_of", limit)
+    joined = rows.join(hosts, rows["_of"].eqNullSafe(hosts["_host"]), "left")
+    joined = joined.withColumn("kept", ~F.col("base_failed") & ~F.coalesce(F.col("host_failed"), F.lit(False)))
+    new = [*COUNTS, "base_failed", *[f"rate_{r}" for r in RULES], "host_failed", "kept"]
+    return joined.select(*[joined["_row"][c].alias(c) for c in own if c not in new], *new)
 
 
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
