@@ -6,7 +6,7 @@ import tempfile
 import uuid
 
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: The white space that separates words in every contract of this package: space, and U+0009 to U+000D.
@@ -51,6 +51,33 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(spaced, " "), "")
 
 
+def hashed(*parts: Column) -> Column:
+    """32 bits of the MD5 of the parts' texts, null as an empty text: a hash that SQL engines share."""
+    return F.conv(F.substring(F.md5(F.concat_ws(":", *[F.coalesce(p.cast("string"), F.lit("")) for p in parts])), 1, 8), 16, 10).cast("long")
+
+
+#: Rows that one task puts in order for running sums.
+ROWS_PER_TASK = 200_000
+
+
+def with_sums_before(df: DataFrame, order: list[Column], sums: dict[str, Column]) -> DataFrame:
+    """Adds for each name the sum of its column over all rows before the own one; ``order`` has no ties.
+
+    Rows are dealt by ranges of the order; each range has its own window, and the ranges' totals - a row each - are
+    added up apart. No window holds all rows.
+    """
+    ranges = max(1, -(-df.count() // ROWS_PER_TASK))
+    rows = df.withColumns({f"_own_{n}": c for n, c in sums.items()}).repartitionByRange(ranges, *order).withColumn("_range", F.spark_partition_id())
+    rows = written(rows, "ranges")
+    before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    totals = rows.groupBy("_range").agg(*[F.sum(f"_own_{n}").alias(f"_own_{n}") for n in sums])
+    offsets = totals.select("_range", *[F.coalesce(F.sum(f"_own_{n}").over(before(Window.orderBy("_range"))), F.lit(0)).alias(f"_earlier_{n}") for n in sums])
+    inside = before(Window.partitionBy("_range").orderBy(*order))
+    rows = rows.join(F.broadcast(offsets), "_range")
+    out = {n: F.col(f"_earlier_{n}") + F.coalesce(F.sum(f"_own_{n}").over(inside), F.lit(0)) for n in sums}
+    return rows.withColumns(out).select(*df.columns, *sums)
+
+
 #: Rows of an Arrow batch of whole texts; Spark's own number is meant for short rows.
 TEXT_ROWS = 1_000
 
