@@ -21,6 +21,7 @@ SQL = {
     "op8_decontamination": decontamination.OP8_SQL,
     "op2_secrets": secrets.OP2_SQL,
     "op1_warc": warc.OP1_SQL,
+    "op6_sharding": sharding.OP6_SQL,
     "op10_substrings": substrings.OP10_SQL,
     "op7_licences": licences.OP7_SQL,
     "op3_quality_rules": quality_rules.OP3_SQL,

@@ -12,8 +12,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lucidgraph.llm.shared import table
+from lucidgraph.llm.shared import hashed, table
 
+#: Shards of the query, all of one weight.
+SHARDS = 40
 #: Rows that one numbering task should get.
 ROWS_PER_BUCKET = 20_000
 
@@ -21,7 +23,7 @@ ROWS_PER_BUCKET = 20_000
 def rendezvous(key: Column, weights: Sequence[float], seed: int = 0) -> Column:
     """The shard (0 to len(weights) - 1) of a key: the largest -weight / ln(u), u uniform from the pair's hash.
 
-    A null key is hashed as the text ``null``. Ties, which need two equal 64-bit hashes, go to the smaller shard.
+    u is of 52 bits of the MD5 of seed, shard and key. A null key is hashed as the text ``null``. Ties go to the smaller shard.
     A weight of 0 or less takes the shard out.
     """
     text = F.coalesce(key.cast("string"), F.lit("null"))
@@ -29,8 +31,8 @@ def rendezvous(key: Column, weights: Sequence[float], seed: int = 0) -> Column:
     for shard, weight in enumerate(weights):
         if weight <= 0:
             continue
-        # 53 bits of the hash, shifted off both ends of (0, 1)
-        u = (F.shiftrightunsigned(F.xxhash64(text, F.lit(seed), F.lit(shard)), 11).cast("double") + 0.5) / float(1 << 53)
+        # half a step off both ends of (0, 1)
+        u = (F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:{shard}:"), text)), 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
         scores.append(F.struct((F.lit(-float(weight)) / F.log(u)).alias("score"), F.lit(-shard).alias("back")))
     if not scores:
         raise ValueError("at least one shard needs a weight above 0")
@@ -45,8 +47,8 @@ def shard_records(
 
     Null text counts as empty; null keys share one shard; repeated rows get slots of their own; an empty table gives
     an empty result. Columns of these names in ``docs`` are replaced. Slots run from 0 without gaps within a shard, in
-    the order of (bucket, key, crc, size); a shard is numbered in buckets of the key's hash, whose offsets come from
-    one count per bucket, so no task sorts a whole shard.
+    the order of (bucket, key, crc, size); a shard is numbered in buckets by a hash of key and text, whose offsets come
+    from one count per bucket, so no task sorts a whole shard, and rows of one key spread if their texts differ.
     """
     body = F.coalesce(F.col(text), F.lit(""))
     n = docs.select(key).count()
@@ -54,6 +56,7 @@ def shard_records(
     buckets = max(buckets, 8)
     new = ["size", "text_crc32", "law", "shard", "slot", "grown_shard", "_bucket", "_before", "_tail"]
     base = docs.drop(*[c for c in new if c not in (key, text)])
+    bucket = F.pmod(hashed(F.col(key), F.crc32(body.cast("binary"))), F.lit(buckets))
     rows = base.withColumns(
         {
             "size": F.octet_length(body).cast("long") + 16,
@@ -61,10 +64,10 @@ def shard_records(
             "law": F.lit("key"),
             "shard": rendezvous(F.col(key), weights, seed),
             "grown_shard": rendezvous(F.col(key), [*weights, grown_weight], seed),
-            "_bucket": F.pmod(F.xxhash64(F.coalesce(F.col(key).cast("string"), F.lit("null")), F.lit(seed + 1)), F.lit(buckets)).cast("int"),
+            "_bucket": bucket,
         }
     )
-    keys = docs.select(rendezvous(F.col(key), weights, seed).alias("shard"), F.pmod(F.xxhash64(F.coalesce(F.col(key).cast("string"), F.lit("null")), F.lit(seed + 1)), F.lit(buckets)).cast("int").alias("_bucket"))
+    keys = docs.select(rendezvous(F.col(key), weights, seed).alias("shard"), bucket.alias("_bucket"))
     # one row per shard and bucket: at most len(weights) * buckets
     counts = keys.groupBy("shard", "_bucket").agg(F.count(F.lit(1)).alias("_n"))
     earlier = Window.partitionBy("shard").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -90,5 +93,22 @@ def assign_shards(docs: DataFrame, weights: Sequence[float], key: str = "doc_id"
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    out = shard_records(docs, [1.0] * 40)
+    out = shard_records(docs, [1.0] * SHARDS)
     return out.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
+
+
+def _best(shards: int) -> str:
+    u = "(CAST('0x' || substr(md5('0:' || s || ':' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 13) AS BIGINT) + 0.5::DOUBLE) / 4503599627370496"
+    return f"list_reduce(list_transform(range(0, {shards}), lambda s: {{'score': -1 / ln({u}), 'shard': s}}), lambda x, y: CASE WHEN y.score > x.score THEN y ELSE x END).shard"
+
+
+#: CRC-32 by its table of 256 remainders, byte after byte.
+OP6_SQL = rf"""
+WITH RECURSIVE remainders AS (SELECT list(list_reduce(list_prepend(i, range(0, 8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS t FROM range(0, 256) AS r(i)),
+d AS (SELECT row_number() OVER () AS rid, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+b AS (SELECT rid, doc_id, length(h) // 2 AS n, list_transform(regexp_extract_all(h, '..'), lambda x: CAST('0x' || x AS BIGINT)) AS bytes FROM d),
+c AS (SELECT rid, doc_id, n, xor(list_reduce(list_prepend(4294967295::BIGINT, bytes), lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295) AS crc FROM b CROSS JOIN remainders),
+s AS (SELECT rid, doc_id, n, crc, {_best(SHARDS)} AS shard, {_best(SHARDS + 1)} AS grown_shard,
+        CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || crc), 1, 8) AS BIGINT) % (SELECT greatest(8, (count(*) + {ROWS_PER_BUCKET * SHARDS - 1}) // {ROWS_PER_BUCKET * SHARDS}) FROM documents) AS bucket FROM c)
+SELECT doc_id, n + 16 AS size, crc AS text_crc32, 'key' AS law, CAST(shard AS INTEGER) AS shard, row_number() OVER (PARTITION BY shard ORDER BY bucket, doc_id NULLS LAST, crc, n) - 1 AS slot, CAST(grown_shard AS INTEGER) AS grown_shard FROM s
+"""

@@ -171,6 +171,9 @@ def test_rules(spark, docs, corpus):
     assert rows_of(got, "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed") == sorted(want, key=str)
     assert got.filter("base_failed AND kept").count() == 0 and got.count() == len(corpus)
     assert quality_rules.judge(docs.limit(0)).count() == 0
+    names = ["host_failed", "rate_symbols", "rate_own", "_host", "_row", "_of", "_text", "n_lines", "_words"]
+    more = quality_rules.judge(docs.withColumns({c: F.lit("clash") for c in names}))
+    assert len(set(more.columns)) == len(more.columns) and more.filter("rate_own = 'clash' AND _host = 'clash' AND _row = 'clash' AND _of = 'clash' AND _text = 'clash' AND _words = 'clash' AND rate_symbols <= 1 AND n_lines >= 0").count() == len(corpus)
 
 
 def test_host_verdicts(spark):
@@ -243,6 +246,31 @@ def test_simhash_links(spark, monkeypatch):
         assert sorted(map(sorted, found.values())) == sorted(sorted(g) for g in want.values() if len(g) > 1)
 
 
+def test_links_are_retained_by_the_tally():
+    import numpy as np
+
+    rng = random.Random(17)
+    prints = [rng.getrandbits(64) for _ in range(40)]
+    prints += [p ^ sum(1 << b for b in rng.sample(range(64), rng.randrange(0, 7))) for p in prints] + [p ^ 0x0101010101 for p in prints]
+    a = np.array(prints, np.uint64).view(np.int64)
+    shared = lambda x, y: sum(p == q for p, q in zip(x.to_bytes(8), y.to_bytes(8)))
+    tally = simhash.shared_bytes((a[:, None] ^ a[None, :]).view(np.uint64))
+    assert all(tally[i, j] == shared(x, y) for i, x in enumerate(prints) for j, y in enumerate(prints))
+    want = {(i, j) for i, x in enumerate(prints) for j, y in enumerate(prints) if shared(x, y) >= 4 and (x ^ y).bit_count() <= 4}
+    assert {(int(i), int(j)) for i, j in zip(*simhash.linked_within(a, a))} == want
+    # more links than an Arrow batch has rows by default are all handed on
+    import pyarrow as pa
+
+    lists = pa.RecordBatch.from_arrays([pa.array([k for k in range(3000) for _ in range(2)], pa.int64()), pa.array([v for k in range(3000) for v in (4 * k, 4 * k + 1)], pa.int64())], ["list", "print"])
+    assert sum(b.num_rows for b in simhash._links(iter([lists]))) == 3000
+
+
+def test_simhash_of_string_keys(spark):
+    frame = spark.createDataFrame([("b", "one two three"), ("a", "one two three"), ("c", "another text"), (None, "x")], "doc_id string, text string")
+    assert rows_of(simhash.near_duplicates(frame), "key", "component") == [("a", "a"), ("b", "a"), ("c", "c"), (None, None)]
+    assert sorted(str(r["doc_id"]) for r in simhash.deduplicate(frame).collect()) == ["None", "a", "c"]
+
+
 def test_triples_cover_all_fours():
     from itertools import combinations
 
@@ -267,6 +295,20 @@ def test_sharding(spark, docs, corpus):
     assert sharding.shard_records(docs.limit(0), [1.0]).count() == 0
 
 
+def test_shards_are_the_largest_scores(spark):
+    weights, seed = [1.0, 0.0, 2.5, 1.0, 0.25], 3
+    keys = [*range(300), None]
+    frame = spark.createDataFrame([(k,) for k in keys], "doc_id long")
+    got = {r["doc_id"]: r["shard"] for r in sharding.assign_shards(frame, weights, seed=seed).collect()}
+    import math
+
+    def score(k, s):
+        u = (int(hashlib.md5(f"{seed}:{s}:{'null' if k is None else k}".encode()).hexdigest()[:13], 16) + 0.5) / (1 << 52)
+        return -weights[s] / math.log(u)
+
+    assert got == {k: max((s for s in range(5) if weights[s] > 0), key=lambda s: (score(k, s), -s)) for k in keys}
+
+
 def test_sharding_grows_and_weighs(spark):
     ids = spark.range(20_000).select(F.col("id").alias("doc_id"))
     before, after = (sharding.assign_shards(ids, [1.0] * n, column=f"s{n}") for n in (9, 10))
@@ -459,6 +501,31 @@ def test_mixing(docs, corpus):
     assert mixing.emit(got).count() == sum(r["copies"] for r in rows) and mixing.mix(docs.limit(0)).count() == 0
 
 
+def test_mixes_agree(spark):
+    """Repeated and null ids with different texts: reruns over other partitions take the same texts."""
+    rng = random.Random(19)
+    rows = [(rng.choice([None, 1, 2, 64, 128]), rng.choice(["a", "b", None]), " ".join(f"w{rng.randrange(50)}" for _ in range(rng.choice([3, 3, 4])))) for _ in range(300)]
+    mixes = []
+    for parts in (1, 5, 9):
+        rng.shuffle(rows)
+        frame = spark.createDataFrame(rows, "doc_id long, source string, text string").repartition(parts)
+        mixes.append(Counter(map(tuple, mixing.emit(mixing.mix(frame)).select("doc_id", "source", "text").collect())))
+    assert mixes[0] == mixes[1] == mixes[2] and sum(mixes[0].values()) > 100
+
+
+def test_targets_of_many_sources(spark, monkeypatch):
+    from lucidgraph.llm import shared
+
+    rng = random.Random(20)
+    sizes = {f"s{i:03}": rng.choice([0, 1, 5, 90, 4000]) for i in range(97)} | {None: 33}
+    want = simple_targets(sizes)
+    frame = spark.createDataFrame(list(sizes.items()), "source string, source_size long")
+    for rows in (200_000, 7):
+        monkeypatch.setattr(shared, "ROWS_PER_TASK", rows)
+        got = {r["source"]: r["target"] for r in mixing.source_targets(frame, (5, 2, 1), 1.5, 2.0).collect()}
+        assert got == pytest.approx(want)
+
+
 def simple_removal(rows):
     low = {}
     split = [(i, words(t)) for i, _, t in rows]
