@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
 import uuid
 
@@ -41,6 +42,46 @@ def written(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: The column that names a row's part.
+PART = "_part"
+
+
+def in_parts(df: DataFrame, what: str) -> DataFrame:
+    """``df`` written to the shared folder with the part - the task that wrote it - of each row.
+
+    What tasks ask for by part in one pass over the rows can be looked up elsewhere and handed to them by part in the
+    next, whatever tasks then read the rows.
+    """
+    return written(df.withColumn(PART, F.spark_partition_id()), what)
+
+
+def by_part(answers: DataFrame, what: str) -> str:
+    """Writes rows (part, ...), sorted, in a folder for each part; returns where."""
+    uri = shared_dir(answers.sparkSession, what)
+    n = int(answers.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    answers.repartition(n, "part").sortWithinPartitions(*answers.columns).write.partitionBy("part").parquet(uri)
+    return uri
+
+
+class PartReader:
+    """In a task: the rows that ``by_part`` wrote for a part. The last one read is kept."""
+
+    def __init__(self, uri: str, columns: list[str]):
+        self.uri, self.columns, self.part, self.rows = uri, columns, None, None
+
+    def read(self, part: int):
+        """An Arrow table, or None if nothing was written for the part."""
+        if part != self.part:
+            import pyarrow.dataset as ds
+            from pyarrow import fs
+
+            store, path = fs.FileSystem.from_uri(f"{self.uri}/part={part}")
+            here = store.get_file_info(path).type.name != "NotFound"
+            self.part = part
+            self.rows = ds.dataset(path, filesystem=store, format="parquet").to_table(columns=self.columns) if here else None
+        return self.rows
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -92,3 +133,6 @@ def text_batches(spark: SparkSession) -> None:
 def by_value(module) -> None:
     """Ships the module's functions inside the task, so that executors need no copy of this package."""
     cloudpickle.register_pickle_by_value(module)
+
+
+by_value(sys.modules[__name__])

@@ -600,19 +600,23 @@ def test_kneser_ney(spark, monkeypatch):
     syllables = ["the", "on", "er", "ou", "é", "\U0001f511"]
     texts = [" ".join("".join(rng.choice(syllables) for _ in range(rng.randrange(1, 4))) for _ in range(rng.randrange(1, 20))) for _ in range(60)]
     p = simple_probabilities(texts)
-    frame = spark.createDataFrame([("xx", t) for t in texts], "lang string, text string")
-    for rows in (2_000_000, 100):
-        monkeypatch.setattr(perplexity, "SHARD_ROWS", rows)
-        model = perplexity.save(perplexity.train(frame))
-        assert (model.shards > 1) == (rows == 100)
-        tried = [*texts[:5], "the er", "zzz unknown 日本", "x", None, "", "THE the\n"]
-        for lang in ("xx", perplexity.POOLED):
-            for t, got in zip(tried, model.perplexities(lang, tried)):
-                if not t:
-                    assert math.isnan(got)
-                    continue
-                s = [0, 0, 0] + [min(ord(c), 0xFFFF) or 0xFFFF for c in t]
-                assert got == pytest.approx(math.exp(-sum(math.log(p(tuple(s[i : i + 4]))) for i in range(len(t))) / len(t))), t
+    model = perplexity.train(spark.createDataFrame([("xx", t) for t in texts], "lang string, text string"))
+    tried = [*texts[:5], "the er", "zzz unknown 日本", "x", None, "", "THE the\n"]
+    frame = spark.createDataFrame([(i, lang, t) for lang in ("xx", "yy", None) for i, t in enumerate(tried)], "id long, lang string, text string").repartition(3)
+    for most in (500_000, 7):  # a part's n-grams at once, and in pieces
+        monkeypatch.setattr(perplexity, "MOST_COUNTED", most)
+        got = perplexity.scored(frame, model, frozenset(["xx"]), "text", "lang").collect()
+        assert len(got) == len(tried) * 3
+        for r in got:
+            t = r["text"]
+            assert t == tried[r["id"]] and r["_model"] == ("xx" if r["lang"] == "xx" else perplexity.POOLED)
+            if not t:
+                assert r["_perplexity"] is None and r["_worst"] is None
+                continue
+            s = [0, 0, 0] + [min(ord(c), 0xFFFF) or 0xFFFF for c in t]
+            nll = [-math.log(p(tuple(s[i : i + 4]))) for i in range(len(t))]
+            assert r["_perplexity"] == pytest.approx(math.exp(sum(nll) / len(t))), t
+            assert r["_worst"] == pytest.approx(max(sum(nll[i : i + 6]) / 6 for i in range(len(t) - 5)) if len(t) >= 6 else sum(nll) / len(t))
     known = {c for t in texts for c in t}
     context = (0, 0, 0)
     assert sum(p((*context, min(ord(c), 0xFFFF))) for c in known) + p((*context, 1)) == pytest.approx(1, abs=1e-6)
