@@ -261,7 +261,7 @@ def _scorer(uri: str, languages: frozenset[str], lang: int, text: int, part: int
                     known, known_part, rows = {}, p, reader.read(p)
                     if rows is not None:
                         codes, models = pd.factorize(rows.column("model").to_pandas())
-                        grams, nll = rows.column("gram").to_numpy().view(np.uint64), rows.column("nll").to_numpy()
+                        grams, nll = rows.column("gram").to_numpy().view(np.uint64), rows.column("nll").to_numpy().astype(np.float64)
                         for i, m in enumerate(models):
                             # a part that was handed on in pieces repeats some
                             own, first = np.unique(grams[codes == i], return_index=True)
@@ -282,7 +282,7 @@ def scored(docs: DataFrame, model: DataFrame, languages: frozenset[str], text: s
     text_batches(docs.sparkSession)
     rows = in_parts(docs.drop(PART), "texts-in-parts")
     wanted = written(rows.select(lang, text, PART).mapInArrow(_wanted(languages, 0, 1, 2), "part int, model string, gram long"), "ngrams-wanted")
-    answers = wanted.join(lookups(wanted, model), ["model", "gram"]).select("part", "model", "gram", "nll")
+    answers = wanted.join(lookups(wanted, model), ["model", "gram"]).select("part", "model", "gram", F.col("nll").cast("float").alias("nll"))
     uri = by_part(answers, "ngrams-by-part")
     kept = [f for f in docs.schema if f.name != PART]
     schema = T.StructType([*kept, T.StructField("_model", T.StringType()), T.StructField("_perplexity", T.DoubleType()), T.StructField("_worst", T.DoubleType())])

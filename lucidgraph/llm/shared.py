@@ -38,7 +38,7 @@ def qualified(spark: SparkSession, folder: str) -> str:
 def written(df: DataFrame, what: str) -> DataFrame:
     """``df`` as a Parquet table in the shared folder: it cuts the lineage and outlives executors."""
     path = shared_dir(df.sparkSession, what)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -59,7 +59,7 @@ def by_part(answers: DataFrame, what: str) -> str:
     """Writes rows (part, ...), sorted, in a folder for each part; returns where."""
     uri = shared_dir(answers.sparkSession, what)
     n = int(answers.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    answers.repartition(n, "part").sortWithinPartitions(*answers.columns).write.partitionBy("part").parquet(uri)
+    answers.repartition(n, "part").sortWithinPartitions(*answers.columns).write.option("compression", "zstd").partitionBy("part").parquet(uri)
     return uri
 
 
