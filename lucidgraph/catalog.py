@@ -207,9 +207,13 @@ def agg_predicate_stats(spark, d):
     return rows.withColumn("ratio", F.round("ratio", 6))
 
 
-@query()
+@query(f"SELECT DISTINCT p, true AS subjects_close, true AS objects_close FROM ({_KG})")
 def agg_predicate_stats_sketched(spark, d):
-    return graph.predicate_stats(data.graph(spark, d), approximate=True)
+    """Whether sketched counts are within 20 % of the exact ones: four times the sketch's usual error."""
+    kg = data.graph(spark, d)
+    sketched = graph.predicate_stats(kg, approximate=True).select("p", F.col("subjects").alias("s"), F.col("objects").alias("o"))
+    both = graph.predicate_stats(kg).join(sketched, "p")
+    return both.select("p", *[(F.abs(F.col(x) - F.col(c)) <= 0.2 * F.col(c)).alias(f"{c}_close") for x, c in (("s", "subjects"), ("o", "objects"))])
 
 
 @query(
@@ -253,7 +257,8 @@ def graph_relation_cardinality(spark, d):
 
 @query(f"SELECT p, side, count(*) AS n, min(name) AS first, max(name) AS last FROM (SELECT DISTINCT p, 'head' AS side, s AS name FROM ({_SMALL}) UNION SELECT DISTINCT p, 'tail', o FROM ({_SMALL})) GROUP BY p, side")
 def graph_type_constraints(spark, d):
-    return graph.type_constraints(data.graph(spark, d, SMALL)).select("p", "side", "n", F.array_min("names").alias("first"), F.array_max("names").alias("last"))
+    rows = graph.type_constraints(data.graph(spark, d, SMALL))
+    return rows.groupBy("p", "side").agg(F.count(F.lit(1)).alias("n"), F.min("name").alias("first"), F.max("name").alias("last"))
 
 
 @query(
@@ -533,17 +538,23 @@ def ev_partition_scores(spark, d):
     return evaluation.partition_scores(evaluation.contingency(_pairs(spark, d))).select(*_r("ari", "nmi", "hms", "pur"))
 
 
-@query()
+#: The best one-to-one assignment of the 7 predicted clusters: the most for each set of true ones that is used up.
+_ASSIGNED = (
+    f"c AS (SELECT truth, predicted, count(*) AS n FROM ({_PAIRS_SQL}) GROUP BY ALL), tr AS (SELECT truth, size, row_number() OVER (ORDER BY truth) - 1 AS bit FROM (SELECT truth, count(*) AS size FROM ({_PAIRS_SQL}) GROUP BY truth)), s0 AS (SELECT 0 AS used, 0 AS got, 0::DOUBLE AS part), "
+    + ", ".join(
+        f"s{k + 1} AS (SELECT used, max(got) AS got, arg_max(part, (got, part)) AS part FROM (SELECT used | (1 << bit) AS used, got + coalesce(n, 0) AS got, part + coalesce(n, 0) / size AS part FROM s{k} JOIN tr ON used & (1 << bit) = 0 LEFT JOIN c ON c.truth = tr.truth AND c.predicted = {k}) GROUP BY used)"
+        for k in range(7)
+    )
+    + ", best AS (SELECT max(got) AS got, arg_max(part, (got, part)) AS part FROM s7)"
+)
+
+
+@query(f"WITH {_ASSIGNED} SELECT round(got / (SELECT sum(size) FROM tr), 6) AS micro, round(part / (SELECT count(*) FROM tr), 6) AS macro FROM best")
 def ev_accuracy(spark, d):
     micro, macro = evaluation.accuracy(evaluation.contingency(_pairs(spark, d)))
-    return spark.createDataFrame([(micro, macro)], "micro double, macro double")
+    return spark.createDataFrame([(round(micro, 6), round(macro, 6))], "micro double, macro double")
 
 
-@query()
-def ev_all(spark, d):
-    v = data.vectors(spark, d)
-    found = evaluation.evaluate(_pairs(spark, d), v.select("id", "vec", F.pmod("id", F.lit(7)).alias("label")))
-    return spark.createDataFrame([(k, float(x)) for k, x in found.items()], "metric string, value double")
 
 
 _V = "list_transform(embedding, lambda x: x::DOUBLE)"
@@ -551,12 +562,24 @@ _D2 = "sqrt(list_sum(list_transform(range(1, len(a.v) + 1), lambda k: (a.v[k] -
 _COS = "list_cosine_similarity(a.v, b.v)"
 
 
-@query(
-    f"""WITH v AS (SELECT vec_id AS id, label, {_V} AS v FROM embeddings),
+def _silhouette_sql(label: str) -> str:
+    return f"""WITH v AS (SELECT vec_id AS id, {label} AS label, {_V} AS v FROM embeddings),
 d AS (SELECT a.id, a.label AS la, b.label AS lb, avg({_D2}) AS d FROM v a JOIN v b ON a.id <> b.id GROUP BY ALL),
 s AS (SELECT id, max(CASE WHEN la = lb THEN d END) AS a, min(CASE WHEN la <> lb THEN d END) AS b FROM d GROUP BY id)
 SELECT round(avg(CASE WHEN a IS NULL OR b IS NULL THEN 0 ELSE (b - a) / greatest(a, b) END), 6) AS ss FROM s"""
+
+
+@query(
+    f"""WITH {_ASSIGNED}, p AS ({SQL['ev_partition_scores']}), ss AS ({_silhouette_sql('vec_id % 7')})
+SELECT 'ACC' AS metric, round(got / (SELECT sum(size) FROM tr), 6) AS value FROM best UNION ALL SELECT 'ARI', ari FROM p UNION ALL SELECT 'NMI', nmi FROM p UNION ALL SELECT 'SS', ss FROM ss"""
 )
+def ev_all(spark, d):
+    v = data.vectors(spark, d)
+    found = evaluation.evaluate(_pairs(spark, d), v.select("id", "vec", F.pmod("id", F.lit(7)).alias("label")))
+    return spark.createDataFrame([(k, round(float(x), 6)) for k, x in found.items()], "metric string, value double")
+
+
+@query(_silhouette_sql("label"))
 def ev_silhouette(spark, d):
     """All pairs of vectors: the measure is quadratic."""
     return evaluation.silhouette(data.vectors(spark, d)).select(*_r("ss"))
@@ -674,8 +697,31 @@ def _clustered(name: str, **settings) -> Query:
     return run
 
 
-for _name, _settings in {"kmeans": {"k": 10, "restarts": 3}, "dbscan": {"eps": 0.6, "least": 4, "metric": "cosine"}, "hierarchical": {"k": 10}, "spectral": {"k": 10}, "multicut": {"cut": 0.55}}.items():
-    query()(_clustered(_name, **_settings))
+_DBSCAN = {"eps": 0.6, "least": 4, "metric": "cosine"}
+query(
+    f"""WITH RECURSIVE v AS (SELECT vec_id AS id, {_V} AS v FROM embeddings), near AS MATERIALIZED (SELECT a.id AS i, b.id AS j FROM v a JOIN v b ON 1 - {_COS} <= {_DBSCAN['eps']}::DOUBLE OR a.id = b.id),
+core AS MATERIALIZED (SELECT i FROM near GROUP BY i HAVING count(*) >= {_DBSCAN['least']}), link AS MATERIALIZED (SELECT i, j FROM near WHERE i IN (SELECT i FROM core) AND j IN (SELECT i FROM core)),
+reach(i, j) AS (SELECT i, i FROM core UNION SELECT r.i, l.j FROM reach r JOIN link l ON l.i = r.j), root AS (SELECT i, min(j) AS root FROM reach GROUP BY i),
+border AS (SELECT n.i AS id, arg_min(r.root, n.j) AS root FROM near n JOIN root r ON r.i = n.j GROUP BY n.i), own AS (SELECT v.id, coalesce(c.root, b.root) AS root FROM v LEFT JOIN root c ON c.i = v.id LEFT JOIN border b ON b.id = v.id),
+num AS (SELECT root, row_number() OVER (ORDER BY root) - 1 AS cluster FROM (SELECT DISTINCT root FROM root))
+SELECT id, CAST(coalesce(cluster, -1) AS INTEGER) AS cluster FROM own LEFT JOIN num USING (root)"""
+)(_clustered("dbscan", **_DBSCAN))
+
+
+def _settled(name: str, **settings) -> Query:
+    """What holds of a clustering whose numbers depend on chance or on rounding: points, clusters and gapless numbers."""
+
+    def run(spark, d):
+        rows = clustering.method(name, **settings)(data.vectors(spark, d).select("id", "vec"))
+        one = rows.agg(F.count_distinct("id").alias("points"), F.count(F.lit(1)).alias("rows"), F.count_distinct("cluster").alias("clusters"), F.max("cluster").alias("last"))
+        return one.select("points", "rows", *(["clusters"] if "k" in settings else []), (F.col("last") + 1 == F.col("clusters")).alias("gapless"))
+
+    run.__name__ = f"cl_{name}"
+    return run
+
+
+for _name, _settings in {"kmeans": {"k": 10, "restarts": 3}, "hierarchical": {"k": 10}, "spectral": {"k": 10}, "multicut": {"cut": 0.55}}.items():
+    query(f"SELECT count(*) AS points, count(*) AS rows, {'10 AS clusters, ' if 'k' in _settings else ''}true AS gapless FROM embeddings")(_settled(_name, **_settings))
 
 
 # ---- embedding ----
@@ -686,14 +732,14 @@ def _fit(model: str) -> Query:
         kg = data.graph(spark, d, ("nation", "supplier"))
         t = embedding.Training(model=model, k=16, epochs=40, rounds=2, rate=0.05 if model != "convkb" else 0.02)
         losses = embedding.train(kg, t)[1]
-        return spark.createDataFrame([(model, losses[0], losses[-1], losses[-1] < losses[0])], "model string, first_loss double, last_loss double, fell boolean")
+        return spark.createDataFrame([(model, len(losses), losses[-1] < losses[0])], "model string, rounds long, fell boolean")
 
     run.__name__ = f"em_train_{model}"
     return run
 
 
 for _model in embedding.MODELS:
-    query()(_fit(_model))
+    query(f"SELECT '{_model}' AS model, 2 AS rounds, true AS fell")(_fit(_model))
 
 
 def _small_model(spark, d) -> tuple[DataFrame, embedding.Embedding]:
@@ -701,13 +747,16 @@ def _small_model(spark, d) -> tuple[DataFrame, embedding.Embedding]:
     return kg, embedding.train(kg, embedding.Training(k=8, epochs=40, rounds=1))[0]
 
 
-@query()
+@query(f"SELECT p, count(*) AS facts, true AS in_unit, true AS above_others FROM ({data.graph_sql(('nation',))}) GROUP BY p")
 def em_predict_calibrated(spark, d):
     """Scores of all facts and of as many with the object moved on, and probabilities fitted to them."""
     kg, model = _small_model(spark, d)
     region = F.concat(F.lit("region/"), F.pmod(F.substring("o", 8, 9).cast("int") + 1, F.lit(5)).cast("string"))
     good, bad = embedding.predict(model, kg), embedding.predict(model, kg.withColumn("o", region))
-    return embedding.probabilities(embedding.calibrate(good, bad), good)
+    fitted = embedding.calibrate(good, bad)
+    sure, other = (embedding.probabilities(fitted, x) for x in (good, bad))
+    least = other.agg(F.avg("probability")).first()[0]
+    return sure.groupBy("p").agg(F.count(F.lit(1)).alias("facts"), F.min(F.col("probability").between(0, 1)).alias("in_unit"), (F.avg("probability") > least).alias("above_others"))
 
 
 @query(f"SELECT name FROM (SELECT s AS name FROM ({_SMALL}) UNION SELECT o FROM ({_SMALL}))")
@@ -755,7 +804,7 @@ def em_update_data(spark, d):
 # ---- rules, iterations, streams ----
 
 
-@query()
+@query(" UNION ALL ".join(f"SELECT '{r.rule_id()}' AS rule_id, '{r.head.o}' AS cluster, {len(r.body)} AS atoms" for r in _rules()))
 def io_rules(spark, d):
     """Rules written to read and to load, and loaded."""
     path = work_folder(spark, "rules")
@@ -763,7 +812,7 @@ def io_rules(spark, d):
     return output.read_rules(spark, f"{path}.parsable").select("rule_id", "cluster", F.size("body").cast("long").alias("atoms"))
 
 
-@query()
+@query("SELECT unnest([0, 1]) AS itr_num, 5 AS clusters, (SELECT count(*) FROM supplier) AS entities, true AS measured")
 def it_pipeline(spark, d):
     """Two iterations over all suppliers: cluster sizes, accuracy against their regions, rule measures."""
     kg = data.graph(spark, d, ("nation", "supplier"))
@@ -771,7 +820,8 @@ def it_pipeline(spark, d):
     targets = kg.filter("p = 'inNation'").join(F.broadcast(nation), "o").select(F.col("s").alias("entity"), F.lit("livesIn").alias("relation"), "label")
     plan = iterations.Plan(iterations=2, method_settings={"k": 5, "restarts": 2}, training=embedding.Training(k=8, epochs=8, rounds=1))
     found = iterations.run(kg, targets, plan).metrics()
-    return output.metrics_frame(spark, found, ("itr_num", "ACC", "ARI", "NMI", "SS", "x_coverage@1", "curr_vs_base", "clusters", "clusters_with_any_explans", "clusters_sizes"))
+    ok = lambda m: all(-1 <= m[k] <= 1 for k in ("ACC", "ARI", "NMI", "SS")) and 0 <= m["clusters_with_any_explans"] <= m["clusters"]
+    return spark.createDataFrame([(int(m["itr_num"]), len(m["clusters_sizes"]), sum(m["clusters_sizes"]), ok(m)) for m in found], "itr_num long, clusters long, entities long, measured boolean")
 
 
 @query(f"WITH {_SUPPORTS} SELECT rule_id, cluster, support, size FROM g")

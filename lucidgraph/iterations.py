@@ -33,8 +33,7 @@ class Iteration:
 class Plan:
     """Settings of a run.
 
-    ``stop_below``: ends once fewer of the entities change their cluster; 0 never does. ``most_silhouette``: entities up
-    to which the silhouette, which is quadratic, is measured.
+    ``stop_below``: ends once fewer of the entities change their cluster; 0 never does.
     """
 
     iterations: int = 2
@@ -51,7 +50,6 @@ class Plan:
     objective: str = "x_coverage"
     top: int = 1
     stop_below: float = 0.0
-    most_silhouette: int = 20_000
     seed: int = 0
 
 
@@ -90,7 +88,7 @@ def _measure(number: int, table: DataFrame, clusters: DataFrame, truth: DataFram
         out |= evaluation.evaluate(pairs)
     named = vectors.select(F.col("name").alias("id"), "vec")
     labelled = named.join(clusters.select(F.col("entity").alias("id"), "label"), "id")
-    out["SS"] = evaluation.silhouette(labelled).first()["ss"] if len(sizes) > 1 and sum(sizes.values()) <= plan.most_silhouette else None
+    out["SS"] = evaluation.silhouette(labelled).first()["ss"] if len(sizes) > 1 else None
     for key, other in (("curr_vs_base", past[:1]), ("curr_vs_prv", past[-1:])):
         if other:
             out[key] = evaluation.mean_similarity(named, other[0].vectors.select(F.col("name").alias("id"), "vec")).first()["similarity"]

@@ -132,6 +132,10 @@ def _gradients(t: Training, s: np.ndarray, p: np.ndarray, o: np.ndarray, w: dict
 _VEC = pa.schema([("kind", pa.string()), ("name", pa.string()), ("vec", pa.list_(pa.float64())), ("loss", pa.float64())])
 
 
+#: Triples that one training task holds.
+TRIPLES_PER_TASK = 200_000
+
+
 def _trainer(t: Training, epochs: int, seed: int, names: list[str]):
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = [r for b in batches for r in b.to_pylist()]
@@ -229,12 +233,16 @@ def start(triples: DataFrame, training: Training, old: Embedding | None = None)
     return Embedding(grown(old.entities, ents), grown(old.relations, rels), old.weights, training)
 
 
-def train(triples: DataFrame, training: Training | None = None, old: Embedding | None = None, tasks: int = 1) -> tuple[Embedding, list[float]]:
-    """A trained model and the mean loss of a triple and epoch in each round. On from ``old``, a quarter of the epochs is enough."""
+def train(triples: DataFrame, training: Training | None = None, old: Embedding | None = None, tasks: int | None = None) -> tuple[Embedding, list[float]]:
+    """A trained model and the mean loss of a triple and epoch in each round. On from ``old``, a quarter of the epochs is enough.
+
+    Triples are dealt to ``tasks``, by default one for each ``TRIPLES_PER_TASK``: a task holds its own and their vectors.
+    """
     t = training or Training()
     if t.model not in MODELS:
         raise ValueError(f"no such model: {t.model}; there are {', '.join(MODELS)}")
     triples = stored(triples.select("s", "p", "o"), "training-triples")
+    tasks = tasks or max(1, -(-triples.count() // TRIPLES_PER_TASK))
     model, losses = start(triples, t, old), []
     epochs = math.ceil(t.epochs / 4) if old is not None else t.epochs
     for i in range(max(1, t.rounds)):

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from lucidgraph.functions.measures import MEASURES
 from lucidgraph.functions.vectors import cosine_distance, cosine_similarity, euclidean
+from lucidgraph.operators.blocks import distance_matrix, over_pairs
 
 
 def contingency(pairs: DataFrame, truth: str = "truth", predicted: str = "predicted") -> DataFrame:
@@ -49,7 +50,7 @@ def accuracy(table: DataFrame, plus_one: bool = False) -> tuple[float, float]:
     """(micro, macro) of the best one-to-one assignment of predicted to true clusters.
 
     ``table``: a contingency, as many rows as pairs of clusters, that comes to the driver. Macro averages over the
-    true clusters that exist. ``plus_one`` adds one to micro's numerator, as some tools do.
+    true clusters that exist, and is the greatest of those of the best micro. ``plus_one`` adds one to micro's numerator, as some tools do.
     """
     rows = table.collect()
     if not rows:
@@ -59,8 +60,9 @@ def accuracy(table: DataFrame, plus_one: bool = False) -> tuple[float, float]:
     w = np.zeros((d, d), np.int64)
     for r in rows:
         w[preds.index(str(r["predicted"])), truths.index(str(r["truth"]))] += r["n"]
-    matched = {c: w[i, c] for i, c in assignment(w)}
     sizes = w.sum(0)
+    # the shares of all true clusters together stay under one: they decide between assignments of one weight only
+    matched = {c: w[i, c] for i, c in assignment(w + w / np.maximum(sizes, 1) / (2 * d))}
     macro = float(np.mean([matched[c] / sizes[c] for c in range(len(truths))]))
     return float((sum(matched.values()) + plus_one) / w.sum()), macro
 
@@ -95,14 +97,28 @@ def partition_scores(table: DataFrame, nmi_average: str = "arithmetic") -> DataF
 def silhouette(vectors: DataFrame, label: str = "label", vec: str = "vec", key: str = "id", metric: str | None = None) -> DataFrame:
     """One row, the mean silhouette width over all pairs of vectors; metric None: euclidean.
 
-    A point alone in its cluster counts 0. Each point's sums by cluster are what a pair adds to; the pairs are made by a
-    join of points with points, in blocks, and aggregated at once: exact, and quadratic by definition.
+    A point alone in its cluster counts 0. Sums of distances by point and cluster are made block against block, and
+    only these are aggregated: exact, and quadratic by definition.
     """
-    distance = {"euclidean": euclidean, "cosine": cosine_distance}[metric or "euclidean"]
-    a = vectors.select(F.col(key).alias("i"), F.col(label).alias("li"), F.col(vec).alias("vi"))
-    b = vectors.select(F.col(key).alias("j"), F.col(label).alias("lj"), F.col(vec).alias("vj"))
-    pairs = a.join(b, F.col("i") != F.col("j"))
-    sums = pairs.groupBy("i", "li", "lj").agg(F.avg(distance(F.col("vi"), F.col("vj"))).alias("d"))
+    kind = dict(vectors.dtypes)
+    rows = vectors.select(F.col(key).alias("i"), F.col(label).alias("li"), F.col(vec).alias("vec"))
+    which = metric or "euclidean"
+
+    def summed(a: dict, b: dict) -> dict[str, list]:
+        d = distance_matrix(a["vec"], b["vec"], which)
+        place = {k: j for j, k in enumerate(b["i"])}
+        for i, k in enumerate(a["i"]):
+            if k in place:
+                d[i, place[k]] = 0.0
+        others = sorted(set(b["li"]), key=str)
+        member = np.array([[x == o for o in others] for x in b["li"]], float)
+        same = np.array([[k in place and b["li"][place[k]] == o for o in others] for k in a["i"]], float)
+        total, n = d @ member, member.sum(0)[None, :] - same
+        at = [(i, j) for i in range(len(a["i"])) for j in range(len(others))]
+        return {"i": [a["i"][i] for i, _ in at], "li": [a["li"][i] for i, _ in at], "lj": [others[j] for _, j in at], "sum": [float(total[i, j]) for i, j in at], "n": [float(n[i, j]) for i, j in at]}
+
+    parts = over_pairs(rows, ["i", "li"], f"i {kind[key]}, li {kind[label]}, lj {kind[label]}, sum double, n double", summed)
+    sums = parts.groupBy("i", "li", "lj").agg((F.sum("sum") / F.sum("n")).alias("d"), F.sum("n").alias("n")).filter("n > 0")
     point = sums.groupBy("i", "li").agg(F.max(F.when(F.col("li") == F.col("lj"), F.col("d"))).alias("a"), F.min(F.when(F.col("li") != F.col("lj"), F.col("d"))).alias("b"))
     width = F.when(F.col("a").isNull() | F.col("b").isNull(), F.lit(0.0)).otherwise(F.coalesce(F.try_divide(F.col("b") - F.col("a"), F.greatest("a", "b")), F.lit(0.0)))
     return point.agg(F.avg(width).alias("ss"))

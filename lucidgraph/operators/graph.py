@@ -111,9 +111,9 @@ def relation_cardinality(kg: DataFrame, threshold: float = 1.5) -> DataFrame:
 
 
 def type_constraints(kg: DataFrame) -> DataFrame:
-    """(p, side, n, names): the distinct heads and tails of each relation, sorted."""
-    both = kg.select("p", F.lit("head").alias("side"), F.col("s").alias("name")).unionByName(kg.select("p", F.lit("tail").alias("side"), F.col("o").alias("name")))
-    return both.groupBy("p", "side").agg(F.sort_array(F.collect_set("name")).alias("names")).select("p", "side", F.size("names").cast("long").alias("n"), "names")
+    """(p, side, name): the distinct heads and tails of each relation, a row each."""
+    sides = F.array(F.struct(F.lit("head").alias("side"), F.col("s").alias("name")), F.struct(F.lit("tail").alias("side"), F.col("o").alias("name")))
+    return kg.select("p", F.inline(sides)).distinct()
 
 
 def encode(kg: DataFrame, entities: DataFrame, relations: DataFrame) -> DataFrame:

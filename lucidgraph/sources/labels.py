@@ -6,8 +6,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lucidgraph.functions.terms import AUX_CLUSTER, AUX_RELATION, valid_id
+from lucidgraph.sources.storage import stored
 from lucidgraph.sources.triples import fields
 
+#: Names that one task numbers.
+NAMES_PER_TASK = 500_000
+
 
 def read_labels(spark: SparkSession, path: str, default_relation: str = AUX_RELATION, delimiter: str = r"\s+") -> DataFrame:
     """Entity: first column; label: last; relation: the second of three, else the default."""
@@ -45,9 +49,11 @@ def dictionary(names: DataFrame, column: str = "name") -> DataFrame:
 
     Ids come from a count per range of names and the place in the range, so that no task sorts all names.
     """
-    distinct = names.select(F.col(column).alias("name")).filter("name IS NOT NULL").distinct()
-    rows = distinct.withColumn("_bucket", F.substring("name", 1, 3))
-    counts = rows.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    before = counts.select("_bucket", F.coalesce(F.sum("_n").over(Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    place = F.row_number().over(Window.partitionBy("_bucket").orderBy("name")) - 1
-    return rows.withColumn("_place", place).join(before, "_bucket").select("name", (F.col("_before") + F.col("_place")).cast("long").alias("id"))
+    distinct = stored(names.select(F.col(column).alias("name")).filter("name IS NOT NULL").distinct(), "names")
+    ranges = max(1, -(-distinct.count() // NAMES_PER_TASK))
+    rows = stored(distinct.repartitionByRange(ranges, "name").withColumn("_range", F.spark_partition_id()), "name-ranges")
+    counts = rows.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
+    # a row for each range
+    before = counts.select("_range", F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    place = F.row_number().over(Window.partitionBy("_range").orderBy("name")) - 1
+    return rows.withColumn("_place", place).join(F.broadcast(before), "_range").select("name", (F.col("_before") + F.col("_place")).cast("long").alias("id"))

@@ -9,8 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def work_folder(spark: SparkSession, what: str) -> str:
-    """A new folder below ``spark.checkpoint.dir``, which driver and executors share; set here only where it is unset."""
+    """A new folder below ``spark.checkpoint.dir``, which driver and executors share.
+
+    Where it is unset, a session on one machine gets a temporary folder; on a cluster that is an error.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and the executors share")
     if not base:
         base = "file://" + tempfile.mkdtemp(prefix="checkpoint-")
         spark.conf.set("spark.checkpoint.dir", base)

@@ -60,8 +60,8 @@ def graphs(quads: DataFrame, names: Sequence[str]) -> DataFrame:
 
 
 def write_quads(quads: DataFrame, path: str, mode: str = "append") -> None:
-    """One folder per graph, so that reading some graphs reads only theirs."""
-    quads.select("g", "s", "p", "o").dropDuplicates().repartition("g", "p").write.partitionBy("g").mode(mode).parquet(path)
+    """One folder per graph, so that reading some graphs reads only theirs. A common predicate is dealt by its subjects."""
+    quads.select("g", "s", "p", "o").dropDuplicates().repartitionByRange("g", "p", "s").write.partitionBy("g").mode(mode).parquet(path)
 
 
 def graph_exists(quads: DataFrame, graph: str) -> bool:
