@@ -8,11 +8,11 @@ in memory, and a group's subtree is built on its own. Three things keep the grou
   occurrences are in the anchor's group, and windows that follow each other mostly share it: they are a run.
 * Equal runs are one variant, whatever their number: only its smallest document matters. Where an anchor has one
   variant there is nothing to compare, and no text moves.
-* Of the other variants the words are sent once each, by the smallest document. Bitmaps of bounded size tell a task
-  which ones; a bit that is set by chance costs time, and no result.
+* Of the other variants the words are sent once each, by one occurrence in the smallest document. Texts stay in parts:
+  a task is handed the places that it sends, and later the spans that it removes, by part, and no text is shuffled.
 
-Prefixes are of variable length: an anchor with more variants than a task should hold is split further, and what the
-parts find is merged by the whole 50 words. In a group the nodes of the tree at depth 1, 2, 4, 8, 16, 32 and 50 are
+An anchor with more variants than a task should hold is dealt to several by a hash of the variant, and what these find
+is merged by the whole 50 words, the longest prefix that counts. In a group the nodes of the tree at depth 1, 2, 4, 8, 16, 32 and 50 are
 named level by level (equal names: equal words); a node at depth 50 that two documents share is a repeat, and
 neighbouring ones in a document join to a maximal one. Nothing below depth 50 changes which words are removed.
 """
@@ -22,6 +22,7 @@ from __future__ import annotations
 import hashlib
 import sys
 import zlib
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,18 +30,18 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from lucidgraph.llm.shared import by_value, shared_dir, table, text_batches, written
+from lucidgraph.llm.shared import PART, PartReader, by_part, by_value, in_parts, shared_dir, table, text_batches, written
 
 WINDOW, ANCHOR = 50, 8
 #: Variants of an anchor that one task takes as a group.
-GROUP = 5_000
+GROUP = 1_000
 #: Words that are handled together; a batch of groups has at most this and one more group.
 CHUNK_WORDS = 400_000
-#: Occurrences from which a run is hot, and hot runs up to which all executors get them (about 100 bytes each).
+#: Occurrences from which a run is hot, and how many of the hottest all executors get (about 100 bytes each); the others
+#: have less than a 200,000th of the occurrences each.
 HOT, MOST_HOT = 2_000, 200_000
-#: Bits of the bitmaps, as powers of two.
-LEAST_BITS, MOST_BITS = 20, 30
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 
@@ -118,89 +119,71 @@ def runs(words: list[bytes], powers: Powers) -> tuple[np.ndarray, np.ndarray, np
     return grams[places[first]], whole, first, count
 
 
-_OCCURRENCE = pa.schema([("anchor", pa.int64()), ("run", pa.int64()), ("doc", pa.int64()), ("tkey", pa.int32()), ("first", pa.int32()), ("windows", pa.int32())])
+_OCCURRENCE = pa.schema([("anchor", pa.int64()), ("run", pa.int64()), ("doc", pa.int64()), ("tkey", pa.int64()), ("part", pa.int32()), ("first", pa.int32()), ("windows", pa.int32())])
+_OCCURRENCE_DDL = "anchor long, run long, doc long, tkey long, part int, first int, windows int"
 
 
 def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     powers = Powers()
+    seen: set[tuple[int, int]] = set()
+    part_seen = None
     for batch in batches:
-        docs, tkeys = batch.column("doc").to_numpy(), batch.column("tkey").to_numpy()
-        found = [runs(words_of(text), powers) for text in batch.column("text").to_pylist()]
+        found, own = [], []
+        for doc, tkey, part, text in zip(*(batch.column(c).to_pylist() for c in ("doc", "tkey", PART, "text"))):
+            if part != part_seen:
+                seen, part_seen = set(), part
+            # of rows that repeat in a part one speaks for all
+            if (doc, tkey) not in seen:
+                seen.add((doc, tkey))
+                found.append(runs(words_of(text), powers))
+                own.append((doc, tkey, part))
         sizes = [len(f[0]) for f in found]
         if sum(sizes):
             anchor, run, first, count = (np.concatenate([f[i] for f in found]) for i in range(4))
-            columns = (anchor.view(np.int64), run.view(np.int64), np.repeat(docs, sizes), np.repeat(tkeys, sizes), first.astype(np.int32), count.astype(np.int32))
+            doc, tkey, part = (np.repeat(np.array([o[i] for o in own], np.int64), sizes) for i in range(3))
+            columns = (anchor.view(np.int64), run.view(np.int64), doc, tkey, part.astype(np.int32), first.astype(np.int32), count.astype(np.int32))
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], schema=_OCCURRENCE)
 
 
 def _rows(docs: DataFrame, key: str, text: str) -> DataFrame:
     """(doc, tkey, text): tkey tells texts of the same id apart."""
+    if not isinstance(docs.schema[key].dataType, T.IntegralType):
+        raise ValueError(f"{key} must be a whole number: words are removed by the order of documents")
     text_batches(docs.sparkSession)
     body = F.coalesce(F.col(text), F.lit(""))
-    return docs.select(F.col(key).cast("long").alias("doc"), F.hash(body).alias("tkey"), body.cast("binary").alias("text"))
+    return docs.select(F.col(key).cast("long").alias("doc"), F.xxhash64(body).alias("tkey"), body.cast("binary").alias("text"))
 
 
-def bitmap(rows: DataFrame, key: str, uri: str, bits: int, many: str = "false") -> None:
-    """Writes (place, some, many): 64 bits at each place for the keys, and for those of which ``many`` holds."""
-    rows = rows.withColumn("bit", F.shiftrightunsigned(F.expr(key), 64 - bits)).withColumns({"place": F.shiftrightunsigned("bit", 6), "one": F.expr("shiftleft(1L, cast(bit & 63 AS int))")})
-    rows.groupBy("place").agg(F.bit_or("one").alias("some"), F.bit_or(F.expr(f"if({many}, one, 0L)")).alias("many")).write.parquet(uri)
-
-
-def bits_for(n: int) -> int:
-    return min(MOST_BITS, max(LEAST_BITS, (16 * n).bit_length()))
-
-
-def _load(uri: str, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    import pyarrow.dataset as ds
-    from pyarrow import fs
-
-    store, path = fs.FileSystem.from_uri(uri)
-    some, many = np.zeros(1 << (bits - 6), np.uint64), np.zeros(1 << (bits - 6), np.uint64)
-    for batch in ds.dataset(path, filesystem=store, format="parquet").to_batches():
-        if batch.num_rows:
-            at = batch.column("place").to_numpy()
-            some[at] = batch.column("some").to_numpy().view(np.uint64)
-            many[at] = batch.column("many").to_numpy().view(np.uint64)
-    return some, many
-
-
-def _is_set(bitmap_: np.ndarray, keys: np.ndarray, bits: int) -> np.ndarray:
-    bit = keys >> np.uint64(64 - bits)
-    return (bitmap_[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63)) & np.uint64(1)).astype(bool)
+_VARIANT = pa.schema([("anchor", pa.int64()), ("salt", pa.int32()), ("run", pa.int64()), ("doc", pa.int64()), ("windows", pa.int32()), ("words", pa.binary()), ("many", pa.bool_())])
+_VARIANT_DDL = "anchor long, salt int, run long, doc long, windows int, words binary, many boolean"
 
 
-#: A variant's key with its smallest document, in SQL and in NumPy.
-_LEADER = "run ^ shiftleft(low, 37) ^ shiftleft(low, 17)"
+def _of_part(reader: PartReader, part: int, columns: list[str]) -> dict[tuple[int, int], list[tuple]]:
+    """What was handed to a part, by (doc, tkey)."""
+    out = defaultdict(list)
+    rows = reader.read(part)
+    if rows is not None:
+        for doc, tkey, *row in zip(*(rows.column(c).to_pylist() for c in ("doc", "tkey", *columns))):
+            out[doc, tkey].append(tuple(row))
+    return out
 
 
-def _leader(run: np.ndarray, doc: int) -> np.ndarray:
-    d = np.array([doc], np.int64).view(np.uint64)
-    return run ^ (d << np.uint64(37)) ^ (d << np.uint64(17))
+_PLACE = ["anchor", "run", "first", "windows", "salts"]
 
 
-_VARIANT = pa.schema([("anchor", pa.int64()), ("salt", pa.int32()), ("run", pa.int64()), ("doc", pa.int64()), ("windows", pa.int32()), ("words", pa.binary()), ("many", pa.bool_())])
-_VARIANT_DDL = "anchor long, salt int, run long, doc long, windows int, words binary, many boolean"
-
-
-def _emitter(anchors: tuple[str, int], leaders: tuple[str, int], salts: int):
+def _emitter(uri: str):
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (some, many), (leads, _) = _load(*anchors), _load(*leaders)
-        powers = Powers()
+        reader, places, known = PartReader(uri, ["doc", "tkey", *_PLACE]), {}, None
         rows: list[tuple] = []
         for batch in batches:
-            for doc, text in zip(batch.column("doc").to_pylist(), batch.column("text").to_pylist()):
-                words = words_of(text)
-                anchor, run, first, count = runs(words, powers)
-                if not len(anchor):
-                    continue
-                hit = np.flatnonzero(_is_set(some, anchor, anchors[1]) & _is_set(leads, _leader(run, doc), leaders[1]))
-                # a run that comes again in its document is sent once
-                hit = np.sort(hit[np.unique(run[hit], return_index=True)[1]])
-                if not len(hit):
-                    continue
-                heavy = _is_set(many, anchor[hit], anchors[1])
-                own = zip(anchor[hit].view(np.int64).tolist(), run[hit].view(np.int64).tolist(), first[hit].tolist(), count[hit].tolist(), heavy.tolist())
-                rows += [(a, r % salts if m else 0, r, doc, c, packed(words[f : f + c + WINDOW - 1]), m) for a, r, f, c, m in own]
+            for doc, tkey, part, text in zip(*(batch.column(c).to_pylist() for c in ("doc", "tkey", PART, "text"))):
+                if part != known:
+                    places, known = _of_part(reader, part, _PLACE), part
+                # what is sent once is not sent again for a row that repeats
+                own = places.pop((doc, tkey), None)
+                if own:
+                    words = words_of(text)
+                    rows += [(a, r % salts if salts > 1 else 0, r, doc, c, packed(words[f : f + c + WINDOW - 1]), salts > 1) for a, r, f, c, salts in own]
                 if len(rows) >= 20_000:
                     yield _batch(rows, _VARIANT)
                     rows = []
@@ -331,20 +314,20 @@ def compared(rows: DataFrame, variants: DataFrame) -> DataFrame | None:
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     several = variants.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.min("low").alias("low"), F.max("high").alias("high")).filter("n > 1 AND low < high").select("anchor", "n")
     several = written(several, "anchors")
-    size = several.agg(F.count(F.lit(1)).alias("n"), F.max("n").alias("most")).first()
-    if not size["n"]:
+    size = several.agg(F.max("n").alias("most")).first()
+    if size["most"] is None:
         return None
-    anchors, leaders = (shared_dir(spark, "anchor-bits"), bits_for(size["n"])), (shared_dir(spark, "leader-bits"), bits_for(variants.count()))
-    bitmap(several, "anchor", *anchors, many=f"n > {GROUP}")
-    bitmap(variants.select("run", "low"), _LEADER, *leaders)
-    salts = 2 * -(-size["most"] // GROUP)
-    sent = rows.select("doc", "text").mapInArrow(_emitter(anchors, leaders, salts), _VARIANT_DDL)
+    salts = F.when(F.col("n") > GROUP, 2 * F.ceil(F.col("n") / GROUP)).otherwise(1).cast("int").alias("salts")
+    leaders = variants.select("anchor", "run", "place.*").join(several.select("anchor", salts), "anchor")
+    uri = by_part(leaders.select("part", "doc", "tkey", *_PLACE), "places-by-part")
+    sent = rows.select("doc", "tkey", PART, "text").mapInArrow(_emitter(uri), _VARIANT_DDL)
     order = ("anchor", "salt", "run", "doc")
     together = lambda df: df.repartition(n, "anchor", "salt").sortWithinPartitions(*order)
     if size["most"] <= GROUP:
         return together(sent.drop("many")).mapInArrow(_whole, _FOUND_DDL)
     path = shared_dir(spark, "variants-sent")
-    sent.write.partitionBy("many").parquet(path)
+    # the words are deflated already
+    sent.write.option("compression", "uncompressed").partitionBy("many").parquet(path)
     sent = spark.read.schema(_VARIANT_DDL).parquet(path)
     whole = together(sent.filter("NOT many").drop("many")).mapInArrow(_whole, _FOUND_DDL)
     split = sent.filter("many").drop("many")
@@ -354,24 +337,26 @@ def compared(rows: DataFrame, variants: DataFrame) -> DataFrame | None:
     return whole.unionAll(both.mapInArrow(_parts, _FOUND_DDL))
 
 
-def find_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc, tkey, spans): words of a document under windows whose words also start in one with a smaller key.
+def find_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """The texts in parts (doc, tkey, text, _part), and (part, doc, tkey, start, stop): the words of a document under
+    windows whose words also start in one with a smaller key.
 
-    ``spans``: array of (start, stop), one row per run of windows; spans of a document can touch and overlap. ``tkey``,
-    a hash of the text, tells rows of the same key apart; they don't remove each other's words. Rows with a null key
-    remove nothing and lose nothing.
+    Spans of a document can touch and overlap. ``tkey``, a hash of the text, tells rows of the same key apart; they
+    don't remove each other's words. Rows with a null key remove nothing and lose nothing. Keys are whole numbers.
     """
-    rows = _rows(docs, key, text).filter("doc IS NOT NULL")
-    taken = written(rows.mapInArrow(_occurrences, "anchor long, run long, doc long, tkey int, first int, windows int"), "runs")
-    variants = taken.groupBy("anchor", "run").agg(F.min("doc").alias("low"), F.max("doc").alias("high"), F.count(F.lit(1)).alias("n"))
+    rows = in_parts(_rows(docs, key, text), "texts-in-parts")
+    taken = written(rows.filter("doc IS NOT NULL").mapInArrow(_occurrences, _OCCURRENCE_DDL), "runs")
+    place = F.min(F.struct("doc", "tkey", "part", "first", "windows")).alias("place")
+    variants = taken.groupBy("anchor", "run").agg(F.min("doc").alias("low"), F.max("doc").alias("high"), F.count(F.lit(1)).alias("n"), place)
     variants = written(variants, "variants")
     trees = compared(rows, variants)
     trees = written(trees, "trees") if trees is not None else taken.sparkSession.createDataFrame([], _FOUND_DDL)
     both = ["anchor", "run"]
     again = variants.filter("low < high").select("anchor", "run", "low")
-    hot = variants.filter(F.col("n") > HOT).select("anchor", "run", F.ceil(F.col("n") / HOT).cast("int").alias("salts"))
-    if 0 < hot.count() <= MOST_HOT:
-        # runs with very many occurrences are few: these are dealt to several tasks, and what is known of them to each
+    hot = variants.filter(F.col("n") > HOT).orderBy(F.col("n").desc()).limit(MOST_HOT).select("anchor", "run", F.ceil(F.col("n") / HOT).cast("int").alias("salts"))
+    hot = written(hot, "hot-runs")
+    if hot.first() is not None:
+        # runs with very many occurrences are dealt to several tasks, and what is known of them to each
         salted = lambda df: df.join(F.broadcast(hot), both, "left")
         every = F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1)).alias("salt")
         taken = salted(taken).withColumn("salt", F.pmod(F.xxhash64("doc", "first"), F.coalesce("salts", F.lit(1))).cast("int")).drop("salts")
@@ -380,23 +365,26 @@ def find_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     seen = taken.join(again, both, "left").join(trees, both, "left")
     alone = f"if(low < doc, array(named_struct('start', first, 'stop', first + windows + {WINDOW - 1})), array())"
     shared = f"transform(filter(parts, x -> x.low < doc), x -> named_struct('start', first + x.a, 'stop', first + x.b + {WINDOW - 1}))"
-    return seen.select("doc", "tkey", F.expr(f"if(parts IS NULL, {alone}, {shared})").alias("spans")).filter(F.size("spans") > 0)
+    return rows, seen.select("part", "doc", "tkey", F.expr(f"inline(if(parts IS NULL, {alone}, {shared}))"))
 
 
 _KEPT = pa.schema([("doc", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.string())])
 
 
-def _remover(digest: bool):
+def _remover(uri: str, digest: bool):
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader, spans, known = PartReader(uri, ["doc", "tkey", "start", "stop"]), {}, None
         for batch in batches:
             rows = []
-            for doc, text, spans in zip(*(batch.column(c).to_pylist() for c in ("doc", "text", "spans"))):
+            for doc, tkey, part, text in zip(*(batch.column(c).to_pylist() for c in ("doc", "tkey", PART, "text"))):
+                if part != known:
+                    spans, known = _of_part(reader, part, ["start", "stop"]), part
                 words = words_of(text)
                 n = len(words)
-                if spans:
+                if doc is not None and (own := spans.get((doc, tkey))):
                     gone = np.zeros(n, bool)
-                    for s in spans:
-                        gone[s["start"] : s["stop"]] = True
+                    for start, stop in own:
+                        gone[start:stop] = True
                     words = [words[i] for i in np.flatnonzero(~gone).tolist()]
                 kept = b" ".join(words)
                 rows.append((doc, n, n - len(words), hashlib.sha256(kept).hexdigest() if digest else kept.decode()))
@@ -409,12 +397,11 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", dig
     """(doc, n_words, n_removed, kept) of every row; kept: the words that stay, joined by a space, or their SHA-256.
 
     Null and empty texts have no words. Repeated rows lose the same words each. An empty table gives an empty result.
-    Other columns are ignored.
+    Other columns are ignored; a key that is no whole number is an error.
     """
-    spans = find_repeats(docs, key, text).groupBy("doc", "tkey").agg(F.flatten(F.collect_list("spans")).alias("spans"))
-    rows = _rows(docs, key, text)
-    joined = rows.join(spans, ["doc", "tkey"], "left").select("doc", "text", "spans")
-    return joined.mapInArrow(_remover(digest), "doc long, n_words long, n_removed long, kept string")
+    rows, spans = find_repeats(docs, key, text)
+    uri = by_part(spans, "spans-by-part")
+    return rows.mapInArrow(_remover(uri, digest), "doc long, n_words long, n_removed long, kept string")
 
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:

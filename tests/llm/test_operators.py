@@ -558,6 +558,21 @@ def test_substrings_texts_and_empty(spark, docs):
     assert substrings.remove_repeats(docs.limit(0)).count() == 0
 
 
+def test_substrings_of_repeated_rows(spark):
+    """Rows that repeat give spans in proportion to their number, not to its square."""
+    text = " ".join(f"x{i}" for i in range(400))
+    spans = {}
+    for n in (10, 40):
+        frame = spark.createDataFrame([(1, text)] + [(2, text)] * n + [(None, text)], "doc_id long, text string").repartition(2)
+        rows, found = substrings.find_repeats(frame)
+        spans[n] = found.count()
+        got = Counter((r["doc"], r["n_removed"]) for r in substrings.remove_repeats(frame).collect())
+        assert got == {(1, 0): 1, (2, 400): n, (None, 0): 1} and rows.count() == n + 2
+    assert spans[40] <= 2 * spans[10]
+    with pytest.raises(ValueError):
+        substrings.remove_repeats(spark.createDataFrame([("a", text)], "doc_id string, text string"))
+
+
 def simple_probabilities(texts, order=4):
     """Interpolated modified Kneser-Ney by dictionaries: a function from (context, symbol) to a probability."""
     raw = Counter()
