@@ -37,6 +37,8 @@ from lucidgraph.llm.shared import PART, PartReader, by_part, by_value, in_parts,
 WINDOW, ANCHOR = 50, 8
 #: Variants of an anchor that one task takes as a group.
 GROUP = 1_000
+#: Variants of a larger group that go together: each comes with up to 43 nodes to be merged.
+PIECE = 64
 #: Words that are handled together; a batch of groups has at most this and one more group.
 CHUNK_WORDS = 400_000
 #: Occurrences from which a run is hot, and how many of the hottest all executors get (about 100 bytes each); the others
@@ -317,7 +319,7 @@ def compared(rows: DataFrame, variants: DataFrame) -> DataFrame | None:
     size = several.agg(F.max("n").alias("most")).first()
     if size["most"] is None:
         return None
-    salts = F.when(F.col("n") > GROUP, 2 * F.ceil(F.col("n") / GROUP)).otherwise(1).cast("int").alias("salts")
+    salts = F.when(F.col("n") > GROUP, F.ceil(F.col("n") / PIECE)).otherwise(1).cast("int").alias("salts")
     leaders = variants.select("anchor", "run", "place.*").join(several.select("anchor", salts), "anchor")
     uri = by_part(leaders.select("part", "doc", "tkey", *_PLACE), "places-by-part")
     sent = rows.select("doc", "tkey", PART, "text").mapInArrow(_emitter(uri), _VARIANT_DDL)
@@ -362,7 +364,8 @@ def find_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tu
         taken = salted(taken).withColumn("salt", F.pmod(F.xxhash64("doc", "first"), F.coalesce("salts", F.lit(1))).cast("int")).drop("salts")
         again, trees = salted(again).select("anchor", "run", "low", every), salted(trees).select("anchor", "run", "parts", every)
         both = [*both, "salt"]
-    seen = taken.join(again, both, "left").join(trees, both, "left")
+    # by merges at every size, as one side grows with the other
+    seen = taken.join(again.hint("merge"), both, "left").join(trees.hint("merge"), both, "left")
     alone = f"if(low < doc, array(named_struct('start', first, 'stop', first + windows + {WINDOW - 1})), array())"
     shared = f"transform(filter(parts, x -> x.low < doc), x -> named_struct('start', first + x.a, 'stop', first + x.b + {WINDOW - 1}))"
     return rows, seen.select("part", "doc", "tkey", F.expr(f"inline(if(parts IS NULL, {alone}, {shared}))"))
