@@ -42,6 +42,9 @@ MOST_LANGUAGES = 10_000
 PRIOR = 200
 #: Symbols in a row of which the worst are judged.
 WORST = 6
+#: What n held-out texts leave open widens a limit by this over sqrt(n): some standard errors of the 95 % quantile, 1.3
+#: over sqrt(n) of its distance for a normal and 1.7 for Gumbel's.
+WIDER, WORST_WIDER = 3.0, 7.0
 #: Distinct n-grams that a counting task holds before it hands them on, and symbols that are scored together.
 MOST_COUNTED, MOST_SYMBOLS = 500_000, 500_000
 
@@ -319,14 +322,14 @@ def greatest_tail(quantile: float) -> float:
     return (g(quantile) - g(0.5)) / (g(0.95) - g(0.5))
 
 
-def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", quantile: float = 0.99999, worst_quantile: float = 0.997) -> Classifier | None:
+def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", quantile: float = 0.99999, worst_quantile: float = 0.98) -> Classifier | None:
     """Trains on the trusted rows of ``docs`` and sets each language's limits; None if no row is trusted.
 
     Limits are quantiles of the held-out trusted texts by language. A few hundred texts can't show the quantile 0.99999,
     so it is read off the tail through their median and their 95 % quantile (5 % for the lower limit): a normal's for
     the mean logarithm, shrunk by length; Gumbel's for the worst window, which is the greatest of many, after its growth
-    with the logarithm of the length is taken off. Tails are 1 + 3 / sqrt(n) as wide where n texts were held out, for
-    what so many leave open. All trusted rows count, whatever their number.
+    with the logarithm of the length is taken off. Tails are 1 + ``WIDER`` / sqrt(n) as wide where n texts were held out,
+    for what so many leave open. All trusted rows count, whatever their number.
     """
     texts = trusted_texts(docs, labels, key, text, lang)
     sizes = {r["lang"]: r["n"] for r in texts.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -355,8 +358,8 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     marks += [at_quantile("_worst", q).alias(n) for n, q in (("worst_mid", 0.5), ("worst_high", 0.95))] + [F.count(F.lit(1)).alias("texts")]
     limits = {}
     for r in drawn.groupBy("_model").agg(*marks).collect() + drawn.agg(F.lit(POOLED).alias("_model"), *marks).collect():
-        wide = 1 + 3 / math.sqrt(r["texts"])
-        mean, worst, m = wide * normal_tail(quantile), wide * greatest_tail(worst_quantile), r["_model"]
+        wide = lambda x: 1 + x / math.sqrt(r["texts"])  # noqa: E731, B023
+        mean, worst, m = wide(WIDER) * normal_tail(quantile), wide(WORST_WIDER) * greatest_tail(worst_quantile), r["_model"]
         limits[m] = (middles[m], _beyond(r["mid"], r["low"], mean), _beyond(r["mid"], r["high"], mean), slopes[m], _beyond(r["worst_mid"], r["worst_high"], worst))
     return Classifier(model, languages, limits)
 
