@@ -36,7 +36,7 @@ from lucidgraph.llm.shared import PART, PartReader, by_part, by_value, in_parts,
 
 WINDOW, ANCHOR = 50, 8
 #: Variants of an anchor that one task takes as a group.
-GROUP = 1_000
+GROUP = 5_000
 #: Variants of a larger group that go together: each comes with up to 43 nodes to be merged.
 PIECE = 64
 #: Words that are handled together; a batch of groups has at most this and one more group.
