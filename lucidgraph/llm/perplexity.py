@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lucidgraph.llm.shared import PART, PartReader, by_part, by_value, hashed, in_parts, table, text_batches, written
+from lucidgraph.llm.shared import PART, PartReader, Scratch, by_part, by_value, hashed, in_parts, table, text_batches, written
 
 ORDER = 4
 #: Bits of a symbol: a character of the basic plane is its code, others share the last; 0 stands before a text.
@@ -114,9 +114,9 @@ def trusted_ids(labels: DataFrame, key: str = "doc_id") -> DataFrame:
     return labels.filter(F.col(key).isNotNull()).groupBy(key).agg(F.min(good.cast("int")).alias("_good")).filter("_good = 1").select(key)
 
 
-def trusted_texts(docs: DataFrame, labels: DataFrame, key: str, text: str, lang: str) -> DataFrame:
+def trusted_texts(docs: DataFrame, labels: DataFrame, key: str, text: str, lang: str, scratch: Scratch) -> DataFrame:
     """(lang, text, held): the trusted rows. The ids are broadcast where their number allows."""
-    ids = written(trusted_ids(labels, key), "trusted-ids")
+    ids = scratch.written(trusted_ids(labels, key), "trusted-ids")
     if ids.count() <= MOST_BROADCAST:
         ids = F.broadcast(ids)
     held = F.pmod(hashed(F.col(key), F.lit("held")), F.lit(HELD_OUT)) == 0
@@ -132,20 +132,27 @@ def train(texts: DataFrame, few: bool = True) -> DataFrame:
     """The model (lang, ord, code, p, bow) of texts (lang, text): probabilities of seen n-grams, back-off weights of
     contexts (null where an n-gram is only one of the two). Row (lang, 0, 0) has a new symbol's share as ``p``.
 
+    The model is written; the tables it is made of are removed.
+
     ``few``: the languages are so few that a row for each can go to all tasks. Else n-grams are joined by language.
     """
     text_batches(texts.sparkSession)
+    with Scratch(texts.sparkSession) as scratch:
+        return written(_trained(texts, few, scratch), "ngram-model")
+
+
+def _trained(texts: DataFrame, few: bool, scratch: Scratch) -> DataFrame:
     counts = texts.mapInArrow(_count, "lang string, gram long, c long").groupBy("lang", "gram").agg(F.sum("c").alias("a"))
-    counts = written(counts, "ngram-counts")
+    counts = scratch.written(counts, "ngram-counts")
     pooled = counts.withColumn("lang", F.lit(POOLED)).groupBy("lang", "gram").agg(F.sum("a").alias("a"))
     # each table is written: the next order is a small job of its own
-    orders = {ORDER: written(counts.filter(F.col("lang") != POOLED).unionByName(pooled), f"ngram-order-{ORDER}")}
+    orders = {ORDER: scratch.written(counts.filter(F.col("lang") != POOLED).unionByName(pooled), f"ngram-order-{ORDER}")}
     for k in range(ORDER - 1, 0, -1):
         # continuation counts: distinct symbols before; what stands at a text's start keeps its count
         suffix = F.col("gram").bitwiseAND(F.lit(_mask(k)))
         first = F.shiftrightunsigned("gram", BITS * (k - 1)).bitwiseAND(F.lit(LAST)) if k > 1 else F.lit(1)
         below = orders[k + 1].select("lang", suffix.alias("gram"), "a").withColumn("at_start", first == 0)
-        orders[k] = written(below.groupBy("lang", "gram").agg(F.when(F.first("at_start"), F.sum("a")).otherwise(F.count(F.lit(1))).alias("a")), f"ngram-order-{k}")
+        orders[k] = scratch.written(below.groupBy("lang", "gram").agg(F.when(F.first("at_start"), F.sum("a")).otherwise(F.count(F.lit(1))).alias("a")), f"ngram-order-{k}")
     # discounts by the counts of counts: three numbers per language
     n = [F.sum((F.col("a") == i).cast("long")).cast("double").alias(f"n{i}") for i in (1, 2, 3, 4)]
     y = F.expr("n1 / (n1 + 2 * n2)")
@@ -158,7 +165,7 @@ def train(texts: DataFrame, few: bool = True) -> DataFrame:
         rows = orders[k].join(discounts, "lang").withColumn("d", F.expr("CASE a WHEN 1 THEN d1 WHEN 2 THEN d2 ELSE d3 END"))
         rows = rows.select("lang", "gram", "a", "d", F.shiftrightunsigned("gram", BITS).alias("context"))
         contexts = rows.groupBy("lang", "context").agg(F.sum("a").cast("double").alias("total"), F.sum("d").alias("lost"), F.count(F.lit(1)).alias("types"))
-        contexts = written(contexts.select("lang", "context", "total", F.expr("lost / total").alias("weight"), "types"), f"ngram-contexts-{k}")
+        contexts = scratch.written(contexts.select("lang", "context", "total", F.expr("lost / total").alias("weight"), "types"), f"ngram-contexts-{k}")
         seen = rows.join(contexts, ["lang", "context"]).select("lang", "gram", F.expr("(a - least(d, a)) / total").alias("own"), "weight", "types")
         if k == 1:
             # a new symbol takes part as one type more
@@ -170,7 +177,7 @@ def train(texts: DataFrame, few: bool = True) -> DataFrame:
             p = seen.join(lower.select("lang", F.col("gram").alias("suffix"), F.col("p").alias("under")), ["lang", "suffix"]).select("lang", "gram", F.expr("own + weight * under").alias("p"))
             bows = contexts.select("lang", F.col("context").alias("gram"), F.col("weight").alias("bow"))
             parts.append(lower.join(bows, ["lang", "gram"], "full").select("lang", F.lit(k - 1).alias("ord"), F.col("gram").alias("code"), "p", "bow"))
-        lower = written(p, f"ngram-probabilities-{k}")
+        lower = scratch.written(p, f"ngram-probabilities-{k}")
     parts.append(lower.select("lang", F.lit(ORDER).alias("ord"), F.col("gram").alias("code"), "p", nothing))
     return _union(parts)
 
@@ -215,19 +222,25 @@ def _grouped(batch: pa.RecordBatch, languages: frozenset[str], lang: int, part:
 
 
 def lookups(wanted: DataFrame, model: DataFrame) -> DataFrame:
-    """(model, gram, nll) of the distinct n-grams (model, gram): -log p of the last symbol after the others."""
-    rows = wanted.select("model", "gram").distinct()
+    """(model, gram, nll) of the distinct n-grams (model, gram): -log p of the last symbol after the others.
+
+    Order by order: an n-gram has its own p, or its context's back-off times the p of its suffix; the distinct suffixes
+    are looked up in the same way, and are fewer with each order.
+    """
+    levels = {ORDER: wanted.select("model", "gram").distinct()}
+    for k in range(ORDER - 1, 0, -1):
+        levels[k] = levels[k + 1].select("model", F.col("gram").bitwiseAND(F.lit(_mask(k))).alias("gram")).distinct()
     of = lambda k, column, name, key: model.filter(f"ord = {k} AND {column} IS NOT NULL").select(F.col("lang").alias("model"), F.col("code").alias(key), F.col(column).alias(name))
-    for k in range(1, ORDER + 1):
-        rows = rows.withColumn(f"c{k}", F.col("gram").bitwiseAND(F.lit(_mask(k))) if k < ORDER else F.col("gram")).join(of(k, "p", f"p{k}", f"c{k}"), ["model", f"c{k}"], "left")
-        if k < ORDER:
-            context = F.shiftrightunsigned("gram", BITS).bitwiseAND(F.lit(_mask(k)))
-            rows = rows.withColumn(f"h{k}", context).join(of(k, "bow", f"b{k}", f"h{k}"), ["model", f"h{k}"], "left")
-    new = model.filter("ord = 0").select(F.col("lang").alias("model"), F.col("p").alias("new"))
-    p = F.coalesce("p1", "new")
+    new = model.filter("ord = 0").select(F.col("lang").alias("model"), F.col("p").alias("under"))
+    rows = levels[1].join(of(1, "p", "own", "gram"), ["model", "gram"], "left").join(new, "model", "left")
+    rows = rows.select("model", "gram", F.coalesce("own", "under").alias("p"))
     for k in range(2, ORDER + 1):
-        p = F.coalesce(F.col(f"p{k}"), F.coalesce(F.col(f"b{k - 1}"), F.lit(1.0)) * p)
-    return rows.join(new, "model", "left").select("model", "gram", (-F.log(p)).alias("nll"))
+        shorter = rows.select("model", F.col("gram").alias("suffix"), F.col("p").alias("under"))
+        rows = levels[k].join(of(k, "p", "own", "gram"), ["model", "gram"], "left")
+        rows = rows.withColumns({"context": F.shiftrightunsigned("gram", BITS), "suffix": F.col("gram").bitwiseAND(F.lit(_mask(k - 1)))})
+        rows = rows.join(of(k - 1, "bow", "bow", "context"), ["model", "context"], "left").join(shorter, ["model", "suffix"], "left")
+        rows = rows.select("model", "gram", F.coalesce("own", F.coalesce("bow", F.lit(1.0)) * F.col("under")).alias("p"))
+    return rows.select("model", "gram", (-F.log("p")).alias("nll"))
 
 
 def text_scores(texts: list[str | None], grams: np.ndarray, nll: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -280,13 +293,15 @@ def _scorer(uri: str, languages: frozenset[str], lang: int, text: int, part: int
     return score
 
 
-def scored(docs: DataFrame, model: DataFrame, languages: frozenset[str], text: str, lang: str) -> DataFrame:
-    """All columns of ``docs``, the model that was used, the perplexity and the worst window."""
+def scored(docs: DataFrame, model: DataFrame, languages: frozenset[str], text: str, lang: str, scratch: Scratch | None = None) -> DataFrame:
+    """All columns of ``docs``, the model that was used, the perplexity and the worst window. With ``scratch``, the result
+    can be read only while that lasts."""
     text_batches(docs.sparkSession)
-    rows = in_parts(docs.drop(PART), "texts-in-parts")
-    wanted = written(rows.select(lang, text, PART).mapInArrow(_wanted(languages, 0, 1, 2), "part int, model string, gram long"), "ngrams-wanted")
-    answers = wanted.join(lookups(wanted, model), ["model", "gram"]).select("part", "model", "gram", F.col("nll").cast("float").alias("nll"))
-    uri = by_part(answers, "ngrams-by-part")
+    rows = in_parts(docs.drop(PART), "texts-in-parts", scratch)
+    with Scratch(docs.sparkSession) as own:
+        wanted = own.written(rows.select(lang, text, PART).mapInArrow(_wanted(languages, 0, 1, 2), "part int, model string, gram long"), "ngrams-wanted")
+        answers = wanted.join(lookups(wanted, model), ["model", "gram"]).select("part", "model", "gram", F.col("nll").cast("float").alias("nll"))
+        uri = by_part(answers, "ngrams-by-part", scratch)
     kept = [f for f in docs.schema if f.name != PART]
     schema = T.StructType([*kept, T.StructField("_model", T.StringType()), T.StructField("_perplexity", T.DoubleType()), T.StructField("_worst", T.DoubleType())])
     names = [f.name for f in kept]
@@ -331,7 +346,11 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     with the logarithm of the length is taken off. Tails are 1 + ``WIDER`` / sqrt(n) as wide where n texts were held out,
     for what so many leave open. All trusted rows count, whatever their number.
     """
-    texts = trusted_texts(docs, labels, key, text, lang)
+    with Scratch(docs.sparkSession) as scratch:
+        return _fitted(trusted_texts(docs, labels, key, text, lang, scratch), quantile, worst_quantile, scratch)
+
+
+def _fitted(texts: DataFrame, quantile: float, worst_quantile: float, scratch: Scratch) -> Classifier | None:
     sizes = {r["lang"]: r["n"] for r in texts.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not sizes:
         return None
@@ -339,11 +358,11 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     languages = frozenset(x for x, n in sizes.items() if n >= LEAST_TRUSTED and x != POOLED)
     # a language with few texts has a part in the pooled model only
     own = F.when(F.col("lang").isin(sorted(languages)), F.col("lang")).otherwise(F.lit(POOLED)).alias("lang")
-    model = written(train(texts.filter("NOT held").select(own, "text"), len(languages) <= MOST_LANGUAGES), "ngram-model")
+    model = train(texts.filter("NOT held").select(own, "text"), len(languages) <= MOST_LANGUAGES)
     if model.filter(F.col("lang") == POOLED).first() is None:
         return None
-    checked = scored(texts.filter("held").select("lang", "text"), model, languages, "text", "lang")
-    checked = written(checked.select("_model", F.length("text").alias("n"), F.log("_perplexity").alias("x"), "_worst").filter("x IS NOT NULL"), "held-out-perplexities")
+    checked = scored(texts.filter("held").select("lang", "text"), model, languages, "text", "lang", scratch)
+    checked = scratch.written(checked.select("_model", F.length("text").alias("n"), F.log("_perplexity").alias("x"), "_worst").filter("x IS NOT NULL"), "held-out-perplexities")
     # the pooled limits are of all, by whatever model
     fits = [at_quantile("x", 0.5).alias("m"), F.regr_slope(F.col("_worst"), F.log("n")).alias("slope")]
     fitted = checked.groupBy("_model").agg(*fits).collect() + checked.agg(F.lit(POOLED).alias("_model"), *fits).collect()

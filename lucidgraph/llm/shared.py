@@ -35,29 +35,56 @@ def qualified(spark: SparkSession, folder: str) -> str:
     return f"file://{full[5:]}" if full.startswith("file:/") and not full.startswith("file://") else full
 
 
-def written(df: DataFrame, what: str) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder: it cuts the lineage and outlives executors."""
-    path = shared_dir(df.sparkSession, what)
+def _written_at(df: DataFrame, path: str) -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def written(df: DataFrame, what: str) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder: it cuts the lineage and outlives executors."""
+    return _written_at(df, shared_dir(df.sparkSession, what))
+
+
+class Scratch:
+    """Tables in the shared folder that are removed at the end of the ``with`` block.
+
+    Nothing that is read after the block may be computed from them: their last use is a table written elsewhere, or rows
+    that came to the driver. Then no stage that a lost executor has run again can miss them.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.folder = spark, shared_dir(spark, "scratch")
+
+    def place(self, what: str) -> str:
+        return f"{self.folder}/{what}-{uuid.uuid4().hex}"
+
+    def written(self, df: DataFrame, what: str) -> DataFrame:
+        return _written_at(df, self.place(what))
+
+    def __enter__(self) -> "Scratch":
+        return self
+
+    def __exit__(self, *_) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 #: The column that names a row's part.
 PART = "_part"
 
 
-def in_parts(df: DataFrame, what: str) -> DataFrame:
-    """``df`` written to the shared folder with the part - the task that wrote it - of each row.
+def in_parts(df: DataFrame, what: str, scratch: Scratch | None = None) -> DataFrame:
+    """``df`` written to the shared folder, or to ``scratch``, with the part - the task that wrote it - of each row.
 
     What tasks ask for by part in one pass over the rows can be looked up elsewhere and handed to them by part in the
     next, whatever tasks then read the rows.
     """
-    return written(df.withColumn(PART, F.spark_partition_id()), what)
+    return (scratch.written if scratch else written)(df.withColumn(PART, F.spark_partition_id()), what)
 
 
-def by_part(answers: DataFrame, what: str) -> str:
+def by_part(answers: DataFrame, what: str, scratch: Scratch | None = None) -> str:
     """Writes rows (part, ...), sorted, in a folder for each part; returns where."""
-    uri = shared_dir(answers.sparkSession, what)
+    uri = scratch.place(what) if scratch else shared_dir(answers.sparkSession, what)
     n = int(answers.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     answers.repartition(n, "part").sortWithinPartitions(*answers.columns).write.option("compression", "zstd").partitionBy("part").parquet(uri)
     return uri
