@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import itertools
+import os
 import random
 import re
 import zlib
@@ -12,7 +13,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from lucidgraph.llm import decontamination, licences, mixing, perplexity, quality_rules, secrets, sharding, simhash, substrings, warc
+from lucidgraph.llm import decontamination, licences, mixing, perplexity, quality_rules, secrets, shared, sharding, simhash, substrings, warc
 
 SPACE = "[^\x20\x09-\x0d]+"
 WORDS = re.compile(SPACE)
@@ -637,6 +638,23 @@ def test_kneser_ney(spark, monkeypatch):
     assert sum(p((*context, min(ord(c), 0xFFFF))) for c in known) + p((*context, 1)) == pytest.approx(1, abs=1e-6)
 
 
+def test_scratch_is_removed(spark):
+    def there(s):
+        return os.path.exists(s.folder.removeprefix("file://"))
+
+    with shared.Scratch(spark) as scratch:
+        rows = scratch.written(spark.range(5).toDF("x"), "numbers")
+        kept = shared.written(rows.filter("x > 1"), "kept")
+        assert there(scratch) and rows.count() == 5
+    assert not there(scratch) and kept.count() == 3
+    with pytest.raises(KeyError), shared.Scratch(spark) as scratch:
+        scratch.written(spark.range(1).toDF("x"), "numbers")
+        raise KeyError
+    assert not there(scratch)
+    with shared.Scratch(spark):  # nothing written
+        pass
+
+
 def test_classifier(spark):
     rng = random.Random(12)
     syllables = ["the", "on", "er", "ou", "an", "ti"]
