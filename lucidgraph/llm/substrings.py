@@ -147,6 +147,24 @@ def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], schema=_OCCURRENCE)
 
 
+#: Keys with several texts of which all executors get a list.
+MOST_SEVERAL = 200_000
+
+
+def _told_apart(rows: DataFrame) -> DataFrame:
+    """tkey is 0 for keys that have one text only: it goes with every run through two shuffles, and a hash doesn't
+    compress."""
+    several = rows.groupBy("doc").agg(F.min("tkey").alias("least"), F.max("tkey").alias("most")).filter("least < most AND doc IS NOT NULL")
+    several = written(several.select(F.col("doc").alias("_doc")), "keys-with-several-texts")
+    n = several.limit(MOST_SEVERAL + 1).count()
+    if n == 0:
+        return rows.withColumn("tkey", F.lit(0).cast("long"))
+    if n > MOST_SEVERAL:
+        return rows
+    found = rows.join(F.broadcast(several), F.col("doc") == F.col("_doc"), "left")
+    return found.withColumn("tkey", F.when(F.col("_doc").isNull(), F.lit(0).cast("long")).otherwise(F.col("tkey"))).select(*rows.columns)
+
+
 def _rows(docs: DataFrame, key: str, text: str) -> DataFrame:
     """(doc, tkey, text): tkey tells texts of the same id apart."""
     if not isinstance(docs.schema[key].dataType, T.IntegralType):
@@ -343,14 +361,14 @@ def find_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tu
     """The texts in parts (doc, tkey, text, _part), and (part, doc, tkey, start, stop): the words of a document under
     windows whose words also start in one with a smaller key.
 
-    Spans of a document can touch and overlap. ``tkey``, a hash of the text, tells rows of the same key apart; they
-    don't remove each other's words. Rows with a null key remove nothing and lose nothing. Keys are whole numbers.
+    Spans of a document can touch and overlap. ``tkey``, a hash of the text, tells rows of the same key apart, and is 0
+    for other keys; they don't remove each other's words. Rows with a null key remove nothing and lose nothing. Keys are whole numbers.
     """
-    rows = in_parts(_rows(docs, key, text), "texts-in-parts")
+    rows = _told_apart(in_parts(_rows(docs, key, text), "texts-in-parts"))
     taken = written(rows.filter("doc IS NOT NULL").mapInArrow(_occurrences, _OCCURRENCE_DDL), "runs")
     place = F.min(F.struct("doc", "tkey", "part", "first", "windows")).alias("place")
-    variants = taken.groupBy("anchor", "run").agg(F.min("doc").alias("low"), F.max("doc").alias("high"), F.count(F.lit(1)).alias("n"), place)
-    variants = written(variants, "variants")
+    variants = taken.groupBy("anchor", "run").agg(F.max("doc").alias("high"), F.count(F.lit(1)).alias("n"), place)
+    variants = written(variants.withColumn("low", F.col("place.doc")), "variants")
     trees = compared(rows, variants)
     trees = written(trees, "trees") if trees is not None else taken.sparkSession.createDataFrame([], _FOUND_DDL)
     both = ["anchor", "run"]
