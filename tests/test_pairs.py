@@ -87,3 +87,18 @@ def test_lines_are_made_in_the_tasks_of_the_blocks(spark):
     plan = _plan(catalog.snk_distance_lines(spark, sqlcheck.FOLDER))
     assert "MapInArrow" in plan and "split(" not in plan
     assert sqlcheck.rows_of_query(spark, catalog.snk_distance_lines) == sqlcheck.rows_of_sql(catalog.SQL["snk_distance_lines"])
+
+
+def test_equal_distances_follow_each_other(spark):
+    parts = catalog.vec_distances(spark, sqlcheck.FOLDER).select(F.spark_partition_id(), "d").collect()
+    down = sum(a[0] == b[0] and a[1] > b[1] for a, b in zip(parts, parts[1:]))
+    assert down < len(parts) / 1000
+    assert sqlcheck.rows_of_query(spark, catalog.vec_distances) == sqlcheck.rows_of_sql(catalog.SQL["vec_distances"])
+
+
+def test_rows_in_order_are_whole(spark, monkeypatch):
+    monkeypatch.setattr(blocks, "BLOCK", 8)
+    rows = [(i, None if i % 9 == 0 else [float(i * 37 % 50), 1.0]) for i in range(100)]
+    df = spark.createDataFrame(rows, "id long, vec array<double>")
+    got = evaluation.distance_table(df, {"d": ("euclidean", 1.0), "c": ("cosine", 1.0)}, digits=6, sort="d")
+    assert sorted(map(str, got.collect())) == sorted(map(str, evaluation.distance_table(df, {"d": ("euclidean", 1.0), "c": ("cosine", 1.0)}, digits=6).collect()))
