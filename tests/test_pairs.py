@@ -102,3 +102,14 @@ def test_rows_in_order_are_whole(spark, monkeypatch):
     df = spark.createDataFrame(rows, "id long, vec array<double>")
     got = evaluation.distance_table(df, {"d": ("euclidean", 1.0), "c": ("cosine", 1.0)}, digits=6, sort="d")
     assert sorted(map(str, got.collect())) == sorted(map(str, evaluation.distance_table(df, {"d": ("euclidean", 1.0), "c": ("cosine", 1.0)}, digits=6).collect()))
+
+
+@pytest.mark.parametrize("n, lists, piece", [(40, 7, 3), (33, 100, 16), (1, 5, 4)])
+def test_same_cluster_makes_few_rows_at_once(spark, monkeypatch, n, lists, piece):
+    monkeypatch.setattr(deduction, "PAIRED", lists)
+    monkeypatch.setattr(deduction, "AT_ONCE", piece, raising=False)
+    found = deduction.same_cluster(spark.createDataFrame([(f"e{i}", "big") for i in range(n)], "s string, o string"))
+    assert sorted((r["s"], r["o"]) for r in found.collect()) == sorted((f"e{i}", f"e{j}") for i in range(n) for j in range(n))
+    # the pairs are made behind a stage that hands on lists cut into pieces
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Generate explode") == 4
+    assert "Coalesce" in found._jdf.queryExecution().executedPlan().toString()
